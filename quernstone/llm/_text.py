@@ -115,3 +115,35 @@ def batches(it, max_bytes: int = 4 << 20, column: str = "text"):
         for i, j in zip(cuts, cuts[1:]):
             if j > i:
                 yield b.slice(i, j - i)
+
+
+def runs(it, key: str):
+    """Cut sorted Arrow batches into tables of whole runs of ``key``: (table, run offsets)."""
+    held: list[pa.Table] = []
+
+    def cut(table):
+        k = table.column(key).to_numpy()
+        return table, np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]))
+
+    for b in it:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        k = t.column(key).to_numpy()
+        change = np.flatnonzero(k[1:] != k[:-1]) + 1
+        last = held and held[-1].column(key)[-1].as_py()
+        if held and last != k[0]:
+            yield cut(pa.concat_tables(held))
+            held = []
+        if len(change):
+            end = int(change[-1])
+            yield cut(pa.concat_tables([*held, t.slice(0, end)]))
+            held, t = [], t.slice(end)
+        held.append(t)
+    if held:
+        yield cut(pa.concat_tables(held))
+
+
+def binaries(values: list[np.ndarray]) -> pa.Array:
+    """Arrays as one Arrow column of their bytes."""
+    return pa.array([v.tobytes() for v in values], pa.binary())

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe
+from quernstone.llm import bpe, minhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_minhash_near_dup": minhash.op5_minhash_near_dup,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
