@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, minhash
+from quernstone.llm import bpe, minhash, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_minhash_near_dup": minhash.op5_minhash_near_dup,
+        "op7_suffix_array_dedup": suffixes.op7_suffix_array_dedup,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
