@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, minhash, suffixes
+from quernstone.llm import bpe, minhash, mixing, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_pivotal_mix": mixing.op4_pivotal_mix,
         "op5_minhash_near_dup": minhash.op5_minhash_near_dup,
         "op7_suffix_array_dedup": suffixes.op7_suffix_array_dedup,
         "op10_byte_bpe": bpe.op10_byte_bpe,
