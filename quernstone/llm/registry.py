@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, minhash, mixing, suffixes
+from quernstone.llm import bpe, chat, minhash, mixing, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pivotal_mix": mixing.op4_pivotal_mix,
         "op5_minhash_near_dup": minhash.op5_minhash_near_dup,
         "op7_suffix_array_dedup": suffixes.op7_suffix_array_dedup,
+        "op8_chat_format": chat.op8_chat_format,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_chat_format": chat.OP8_SQL,
+    }
