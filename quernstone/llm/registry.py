@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, chat, minhash, mixing, quality, suffixes
+from quernstone.llm import bpe, chat, minhash, mixing, quality, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_crf_quality": quality.op1_line_crf_quality,
+        "op2_boosted_toxicity": toxicity.op2_boosted_toxicity,
         "op4_pivotal_mix": mixing.op4_pivotal_mix,
         "op5_minhash_near_dup": minhash.op5_minhash_near_dup,
         "op7_suffix_array_dedup": suffixes.op7_suffix_array_dedup,
