@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, chat, minhash, mixing, quality, suffixes, toxicity
+from quernstone.llm import bpe, chat, minhash, mixing, quality, spotsigs, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_crf_quality": quality.op1_line_crf_quality,
         "op2_boosted_toxicity": toxicity.op2_boosted_toxicity,
+        "op3_spotsigs": spotsigs.op3_spotsigs,
         "op4_pivotal_mix": mixing.op4_pivotal_mix,
         "op5_minhash_near_dup": minhash.op5_minhash_near_dup,
         "op7_suffix_array_dedup": suffixes.op7_suffix_array_dedup,
@@ -23,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_spotsigs": spotsigs.OP3_SQL,
         "op8_chat_format": chat.OP8_SQL,
     }
