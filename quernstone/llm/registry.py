@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, chat, minhash, mixing, quality, spotsigs, suffixes, toxicity
+from quernstone.llm import bpe, chat, minhash, mixing, quality, spotsigs, suffixes, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_spotsigs": spotsigs.op3_spotsigs,
         "op4_pivotal_mix": mixing.op4_pivotal_mix,
         "op5_minhash_near_dup": minhash.op5_minhash_near_dup,
+        "op6_kd_top_k": topk.op6_kd_top_k,
         "op7_suffix_array_dedup": suffixes.op7_suffix_array_dedup,
         "op8_chat_format": chat.op8_chat_format,
         "op10_byte_bpe": bpe.op10_byte_bpe,
@@ -25,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_spotsigs": spotsigs.OP3_SQL,
+        "op6_kd_top_k": topk.OP6_SQL,
         "op8_chat_format": chat.OP8_SQL,
     }
