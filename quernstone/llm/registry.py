@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, chat, minhash, mixing, quality, spotsigs, suffixes, topk, toxicity
+from quernstone.llm import bpe, chat, lm, minhash, mixing, quality, spotsigs, suffixes, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_kd_top_k": topk.op6_kd_top_k,
         "op7_suffix_array_dedup": suffixes.op7_suffix_array_dedup,
         "op8_chat_format": chat.op8_chat_format,
+        "op9_stupid_backoff": lm.op9_stupid_backoff,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_spotsigs": spotsigs.OP3_SQL,
         "op6_kd_top_k": topk.OP6_SQL,
         "op8_chat_format": chat.OP8_SQL,
+        "op9_stupid_backoff": lm.OP9_SQL,
     }
