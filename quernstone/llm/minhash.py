@@ -202,6 +202,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without those that another one of their class stands for.
+
+    Of rows that repeat a kept doc_id one stays.  Rows without an id stay.
+    """
+    near = near_duplicates(docs.select("doc_id", "text"), words, percent)
+    marks = near.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    marks = _run.cut(marks.where("not kept or n > 1"), "marks")
+    out = docs.join(marks.select("doc_id"), "doc_id", "left_anti")
+    again = marks.where("kept").select("doc_id")
+    if again.limit(1).count():
+        out = out.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(*docs.columns)
+
+
 def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all ``documents`` by 4-word shingles at Jaccard 0.8."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), words=4)

@@ -129,8 +129,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as the mix takes them: each as often as it has copies."""
-    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
+    """The documents as the mix takes them: each as often as it has copies.
+
+    Rows that share a doc_id are each taken as often as the one with the most copies.
+    """
+    taken = mix(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
     out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
     return out.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
 
