@@ -36,8 +36,6 @@ GRAM = 160
 SLAB = 1 << 19
 #: Positions that one suffix sort takes; a group beyond it is compared offset by offset.
 SORTED = 1 << 20
-#: A join side of at most so many rows of about 40 bytes is sent to every executor.
-BROADCAST_ROWS = 200_000
 
 _BASE = int(_text.BASE)
 _INV = np.uint64(pow(_BASE, -1, 1 << 64))
@@ -261,7 +259,8 @@ def repeated_ranges(docs: DataFrame, width: int = 400) -> tuple[DataFrame, DataF
     each = each.where("copies is null or doc_id <=> `from`")
     seg = each.select("key", "doc_id", F.explode(F.arrays_zip("s0", "starts", "anchor", "gram", "own")).alias("x")).select("key", "doc_id", "x.*")
     grams = seg.groupBy("gram").agg(F.count("*").alias("c"), F.min("own").alias("low"), F.max("own").alias("high")).where("c > 1")
-    seg = _run.cut(seg.join(grams.select("gram", F.expr("low != high").alias("mixed")), "gram"), "met")
+    grams = _run.cut(grams.select("gram", F.expr("low != high").alias("mixed")), "grams")  # as a table, so that a join on a hot gram can be split
+    seg = _run.cut(seg.join(grams, "gram"), "met")
     mixed = seg.where("mixed").groupBy("gram", "own").agg(F.count("*").alias("n"), F.min(F.struct("key", "s0", "doc_id", "starts", "anchor")).alias("x"))
     mixed = _run.cut(mixed.select("gram", "own", F.least("n", F.lit(2)).alias("n"), "x.*"), "different")
 
@@ -273,8 +272,6 @@ def repeated_ranges(docs: DataFrame, width: int = 400) -> tuple[DataFrame, DataF
             yield pa.RecordBatch.from_arrays([*b.columns[1:4], *b.columns[5:7], seg], ["gram", "own", "n", "starts", "anchor", "segment"])
 
     wanted = mixed.groupBy("key", "doc_id").agg(F.collect_list(F.struct("gram", "own", "n", "s0", "starts", "anchor")).alias("want"))
-    if mixed.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
     same = (keyed["key"] == wanted["key"]) & keyed["doc_id"].eqNullSafe(wanted["doc_id"])
     texts = keyed.join(wanted, same).select("text", F.explode("want").alias("x")).select("text", "x.*")
     texts = texts.mapInArrow(cut_out, "gram long, own long, n long, starts int, anchor int, segment binary")
