@@ -46,6 +46,11 @@ def sampled_first(rows: DataFrame, sample: DataFrame, group: str, order: str, id
     return first_of_group(rows.join(picked.select(group), group, "left_semi"), group, order, id_).join(picked, group).select("pos", group, id_)
 
 
+def first_of_list(ids: DataFrame, id_: str, first: int) -> DataFrame:
+    """(pos, id) of the ``first`` least ids, as a list of sampled ids would be read: no more rows are ever gathered."""
+    return ids.select(id_).orderBy(id_).limit(first).select((F.row_number().over(W.orderBy(id_)) - 1).alias("pos"), id_)
+
+
 def random_groups(rows: DataFrame, group: str, n: int, seed: int) -> DataFrame:
     """n groups in an order that a seed fixes."""
     return rows.select(group).distinct().orderBy(F.xxhash64(F.lit(seed), group), group).limit(n)

@@ -31,8 +31,9 @@ def is_legal(action: Column, place: Column, aspect: Column) -> Column:
 
 def dimension(spark: SparkSession) -> DataFrame:
     """All 54 types: action, place, aspect, tag, is_banned, description."""
-    one = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string")
-    df = one("action", ACTIONS).crossJoin(one("place", PLACES)).crossJoin(one("aspect", ASPECTS))  # three constant lists
+    df = spark.range(0, 1, 1, 1)  # one row, exploded by three constant lists
+    for name, values in (("action", ACTIONS), ("place", PLACES), ("aspect", ASPECTS)):
+        df = df.withColumn(name, F.explode(F.array(*map(F.lit, values))))
     a, p, x = F.col("action"), F.col("place"), F.col("aspect")
     legal = is_legal(a, p, x)
     what = F.when(x == "", p).otherwise(F.concat(x, F.lit(" of the "), p))

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from quernstone.functions import ids, templates, text
 from quernstone.operators import codecheck, execution, instructions, ledger, neardup, reports, selection, splits, taxonomy
+from quernstone.sources.constants import constant_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,20 +137,21 @@ def random_partner_first(spark, folder):
 
 
 @query("""
-SELECT (o_custkey // 10 - 1)::INT AS pos, o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_custkey % 10 = 0 AND o_custkey // 10 - 1 < 25 GROUP BY o_custkey
+WITH s AS (SELECT (row_number() OVER (ORDER BY c_custkey) - 1)::INT AS pos, c_custkey AS o_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT pos, o_custkey, min(o_orderkey) AS o_orderkey FROM orders JOIN s USING (o_custkey) WHERE pos < 25 GROUP BY ALL
 """)
 def sampled_first(spark, folder):
-    """The first order of each of the first 25 sampled customers: every tenth."""
+    """The first order of each of the first 25 sampled customers; the sample is a list of a segment's customers."""
     rows = table(spark, folder, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("ordinal"))
-    sample = table(spark, folder, "customer").where("c_custkey % 10 = 0").select((F.expr("c_custkey div 10") - 1).cast("int").alias("pos"), F.col("c_custkey").alias("o_custkey"))
-    return splits.sampled_first(rows, sample, "o_custkey", "ordinal", "o_orderkey", 25)
+    customers = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return splits.sampled_first(rows, splits.first_of_list(customers, "o_custkey", 25), "o_custkey", "ordinal", "o_orderkey", 25)
 
 
-@query("SELECT item_id, length(text) AS n FROM benchmark WHERE item_id IN (SELECT x FROM generate_series(0, 400, 3) t(x))")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def sampled_semi(spark, folder):
-    """Only sampled tasks: ids divisible by 3."""
-    picked = spark.range(0, 401, 3).withColumnRenamed("id", "item_id")
-    return table(spark, folder, "benchmark").join(picked, "item_id", "left_semi").select("item_id", F.length("text").cast("long").alias("n"))
+    """Only sampled tasks: orders whose customer is in a list."""
+    picked = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, folder, "orders").join(picked, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
 _TYPES = """
@@ -185,7 +187,7 @@ FROM n
 """)
 def enforcement_rule(spark, folder):
     """The statements of every type, for kept and for changed names."""
-    names = spark.createDataFrame([("f", "f"), ("f", "g")], "old_name string, new_name string")
+    names = constant_rows(spark, [("f", "f"), ("f", "g")], "old_name string, new_name string")
     rows = taxonomy.dimension(spark).crossJoin(names)  # 54 x 2 constants
     e = taxonomy.enforcement(F.col("action"), F.col("place"), F.col("aspect"), F.lit("m.p.f"), F.lit("m.p"), F.col("old_name"), F.col("new_name"))
     return rows.select("tag", "old_name", "new_name", e["statements"].alias("statements"), e["ok"].alias("ok"))
@@ -194,7 +196,7 @@ def enforcement_rule(spark, folder):
 @query(f"WITH {_TYPES} SELECT tag, action, place, aspect FROM types UNION ALL SELECT * FROM (VALUES ('modify', NULL, NULL, NULL), ('add-x-name', NULL, NULL, NULL), ('a-b-c-d', NULL, NULL, NULL)) b(tag, action, place, aspect)")
 def tag_parse(spark, folder):
     """Every tag read back, and three that can't be."""
-    tags = taxonomy.dimension(spark).select("tag").unionByName(spark.createDataFrame([("modify",), ("add-x-name",), ("a-b-c-d",)], "tag string"))
+    tags = taxonomy.dimension(spark).select("tag").unionByName(constant_rows(spark, [("modify",), ("add-x-name",), ("a-b-c-d",)], "tag string"))
     t = taxonomy.from_tag(F.col("tag"))
     return tags.select("tag", t["action"].alias("action"), t["place"].alias("place"), t["aspect"].alias("aspect"))
 
@@ -308,25 +310,25 @@ def json_repair(spark, folder):
     return rows.select("event_id", text.string_dict(F.col("d"), ("name",), ("l",))["name"].alias("name"), F.array_join(text.string_list(F.col("l")), ",").alias("items"))
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 9 = 0)")
+@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 80)")
 def ledger_missing(spark, folder):
     """Users without a large purchase: work that is not done."""
     e = table(spark, folder, "events")
-    return ledger.missing(e.select("user_id").distinct(), e.where("event_type = 'purchase' and event_id % 9 = 0"), ["user_id"])
+    return ledger.missing(e.select("user_id").distinct(), e.where("event_type = 'purchase' and value > 80"), ["user_id"])
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 3 = 0 INTERSECT SELECT user_id FROM events WHERE event_type = 'click' AND event_id % 3 = 1)")
+@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 60 INTERSECT SELECT user_id FROM events WHERE event_type = 'click' AND value > 60)")
 def ledger_incomplete(spark, folder):
-    """Users that lack a purchase or a click: one of two artefacts."""
+    """Users that lack a large purchase or a large click: one of two artefacts."""
     e = table(spark, folder, "events")
-    return ledger.incomplete(e.select("user_id").distinct(), [e.where("event_type = 'purchase' and event_id % 3 = 0"), e.where("event_type = 'click' and event_id % 3 = 1")], ["user_id"])
+    return ledger.incomplete(e.select("user_id").distinct(), [e.where("event_type = 'purchase' and value > 60"), e.where("event_type = 'click' and value > 60")], ["user_id"])
 
 
-@query("SELECT user_id, max(CASE WHEN event_type = 'purchase' AND event_id % 9 = 0 THEN 1 ELSE 0 END)::INT AS old FROM events GROUP BY 1")
+@query("SELECT user_id, max(CASE WHEN event_type = 'purchase' AND value > 80 THEN 1 ELSE 0 END)::INT AS old FROM events GROUP BY 1")
 def ledger_merge(spark, folder):
     """The ledger of purchasers with the other users added."""
     e = table(spark, folder, "events")
-    done = e.where("event_type = 'purchase' and event_id % 9 = 0").select("user_id", F.lit(1).alias("old")).distinct()
+    done = e.where("event_type = 'purchase' and value > 80").select("user_id", F.lit(1).alias("old")).distinct()
     return ledger.merged(done, e.select("user_id", F.lit(0).alias("old")), ["user_id"])
 
 
@@ -362,30 +364,40 @@ def best_of_attempts(spark, folder):
 
 
 @query(r"""
-WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark WHERE item_id < 24),
-d AS (SELECT item_id, w[1:12] AS w FROM b)
-SELECT a.item_id AS id_a, z.item_id AS id_b, len(a.w)::INT AS n_a, len(z.w)::INT AS n_b FROM d a JOIN d z ON a.item_id < z.item_id
+WITH d AS (SELECT item_id, len(regexp_extract_all(lower(text), '[a-z]+')) AS n FROM benchmark)
+SELECT a.item_id AS id_a, z.item_id AS id_b, a.n::INT AS n_a, z.n::INT AS n_b FROM d a JOIN d z ON a.item_id < z.item_id
 """)
 def near_dup_blocks(spark, folder):
-    """Which pairs are scored, and how long their token lists are."""
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 12)
-    rows = table(spark, folder, "benchmark").where("item_id < 24").select("item_id", words.alias("w"))
+    """Which pairs of benchmark items are scored, and how long their token lists are."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    rows = table(spark, folder, "benchmark").select("item_id", words.alias("w"))
     pairs = neardup.scored_pairs(rows, "item_id", "w")
     sizes = rows.select("item_id", F.size("w").alias("n"))
     return pairs.join(sizes.selectExpr("item_id id_a", "n n_a"), "id_a").join(sizes.selectExpr("item_id id_b", "n n_b"), "id_b").select("id_a", "id_b", "n_a", "n_b")
 
 
 @query(r"""
-WITH a AS (SELECT item_id, lower(regexp_replace(text, '[^A-Za-z]', '', 'g'))[1:60] AS t FROM benchmark)
+WITH a AS (SELECT item_id, lower(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS t FROM benchmark)
 SELECT x.item_id AS id_a, y.item_id AS id_b, levenshtein(x.t, y.t)::INT AS distance FROM a x JOIN a y ON x.item_id < y.item_id
 """)
 def near_dup_pairs(spark, folder):
-    """Edit distances of all pairs of benchmark items, each letter a token."""
-    letters = F.split(F.left(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), F.lit(60)), "")
-    rows = table(spark, folder, "benchmark").select("item_id", F.filter(letters, lambda x: x != "").alias("t"))
+    """Edit distances of all pairs of benchmark items, each letter of the whole text a token."""
+    letters = F.regexp_extract_all(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), F.lit("[a-z]"), F.lit(0))
+    rows = table(spark, folder, "benchmark").select("item_id", letters.alias("t"))
     return neardup.scored_pairs(rows, "item_id", "t")
 
 
+@query("""
+WITH d AS (SELECT DISTINCT p_name || ' ' || p_brand AS t FROM part)
+SELECT a.t AS id_a, b.t AS id_b, levenshtein(a.t, b.t)::INT AS distance FROM d a JOIN d b ON a.t < b.t AND levenshtein(a.t, b.t) <= 2
+""")
+def near_dup_within(spark, folder):
+    """Pairs of different part names with brands that at most two edits of characters separate."""
+    name = F.concat("p_name", F.lit(" "), "p_brand")
+    rows = table(spark, folder, "part").select(name.alias("t")).distinct().select("t", F.filter(F.split("t", ""), lambda x: x != "").alias("w"))
+    return neardup.pairs_within(rows, "t", "w", 2)
+
+
 _GENERAL = {"ECONOMY": [["compare numbers with a margin", "never with =="]], "PROMO": [["return lists"], ["sort them"]]}
 _SPECIFIC = {"Brand#11": [["keep keys", "as strings"]], "Brand#22": [["no nulls"]]}
 
@@ -397,8 +409,8 @@ SELECT p_partkey, CASE substring(p_type, 1, instr(p_type || ' ', ' ') - 1)
 """)
 def instruction_lookup(spark, folder):
     """Part types as packages, brands as APIs."""
-    general = spark.createDataFrame(list(_GENERAL.items()), "package string, entries array<array<string>>")
-    specific = spark.createDataFrame(list(_SPECIFIC.items()), "api_path string, entries array<array<string>>")
+    general = constant_rows(spark, list(_GENERAL.items()), "package string, entries array<array<string>>")
+    specific = constant_rows(spark, list(_SPECIFIC.items()), "api_path string, entries array<array<string>>")
     rows = table(spark, folder, "part").select("p_partkey", F.substring_index("p_type", " ", 1).alias("package"), F.col("p_brand").alias("api_path"))
     return instructions.instruction_lookup(rows, general, specific).select("p_partkey", "instruction")
 
@@ -429,15 +441,15 @@ def rollup_by_package(spark, folder):
 
 @query("""
 SELECT doc_id, '########## Start: Import statement(s) ##########' || chr(10) || 'import ' || lang || chr(10) || '##########  End : Import statement(s) ##########' || chr(10) ||
-  '########## Start: Updated API implementation ##########' || chr(10) || 'def g(): pass' || chr(10) || '##########  End : Updated API implementation ##########' || chr(10) || 'm.f = g' || chr(10) || left(text, 50) || chr(10) || 'def test_a(): pass' || chr(10) || 'test_a()' AS with_update,
+  '########## Start: Updated API implementation ##########' || chr(10) || 'def g(): pass' || chr(10) || '##########  End : Updated API implementation ##########' || chr(10) || 'm.f = g' || chr(10) || text || chr(10) || 'def test_a(): pass' || chr(10) || 'test_a()' AS with_update,
   length('########## Start: Import statement(s) ##########' || chr(10) || 'import ' || lang || chr(10) || '##########  End : Import statement(s) ##########' || chr(10) ||
-  '########## Start: Updated API implementation ##########' || chr(10) || 'def g(): pass' || chr(10) || '##########  End : Updated API implementation ##########' || chr(10) || left(text, 50) || chr(10) || 'def test_a(): pass' || chr(10) || 'test_a()')::INT AS n_without,
-  '    ' || replace(left(text, 90), chr(10), chr(10) || '    ') AS indented FROM documents
+  '########## Start: Updated API implementation ##########' || chr(10) || 'def g(): pass' || chr(10) || '##########  End : Updated API implementation ##########' || chr(10) || text || chr(10) || 'def test_a(): pass' || chr(10) || 'test_a()')::INT AS n_without,
+  '    ' || replace(text, chr(10), chr(10) || '    ') AS indented FROM documents
 """)
 def program_assembly(spark, folder):
     """Programs with and without an update; texts stand in for solutions."""
-    parts = (F.array(F.concat(F.lit("import "), "lang")), F.lit("def g(): pass"), F.lit("m.f = g"), F.left("text", F.lit(50)), F.lit("def test_a(): pass"), F.lit("test_a"))
-    return table(spark, folder, "documents").select("doc_id", text.program(*parts).alias("with_update"), F.length(text.program(*parts, with_update=False)).alias("n_without"), text.indented(F.left("text", F.lit(90))).alias("indented"))
+    parts = (F.array(F.concat(F.lit("import "), "lang")), F.lit("def g(): pass"), F.lit("m.f = g"), F.col("text"), F.lit("def test_a(): pass"), F.lit("test_a"))
+    return table(spark, folder, "documents").select("doc_id", text.program(*parts).alias("with_update"), F.length(text.program(*parts, with_update=False)).alias("n_without"), text.indented(F.col("text")).alias("indented"))
 
 
 CODE = [
@@ -453,7 +465,7 @@ CODE = [
 
 
 def _code(spark):
-    return spark.createDataFrame(CODE, "name string, code string")
+    return constant_rows(spark, CODE, "name string, code string")
 
 
 @query()
@@ -473,7 +485,7 @@ def anonymized(spark, folder):
 def paired_execution(spark, folder):
     """Small programs of ours, run with and without an update."""
     tests = [("both", "assert abs(-1) == 1"), ("only_with", "assert m.f() == 2"), ("only_without", "assert m.f() == 1"), ("neither", "raise SystemExit('stop')")]
-    rows = spark.createDataFrame(tests, "test string, body string")
+    rows = constant_rows(spark, tests, "test string, body string")
     base = "class m: pass\nm.f = lambda: 1\n"
     with_ = F.concat(F.lit(base + "m.f = lambda: 2\n"), "body")
     rows = rows.select("test", F.explode(F.array(F.struct(F.lit("w").alias("variant"), with_.alias("program")), F.struct(F.lit("wo").alias("variant"), F.concat(F.lit(base), "body").alias("program")))).alias("x")).select("test", "x.*")
