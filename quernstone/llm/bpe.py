@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -26,6 +27,8 @@ from quernstone.llm import _run, _text
 
 #: Chunks whose ids a worker remembers; when full, it forgets all and goes on.
 REMEMBERED = 400_000
+#: Blanks (and the character that marks cuts) besides space and line feed.
+_OTHER_BLANKS = re.compile(r"[\x00\x0b-\x0d\x09\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]").search
 
 
 class RankQueue:
@@ -177,7 +180,7 @@ class BytePairCoder:
         before it; texts with longer runs of blanks, or other blanks than space and line
         feed, go to the pattern whole.
         """
-        if not self.blanks or len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\x00" in text:
+        if not self.blanks or _OTHER_BLANKS(text) or any(x in text for x in ("  ", "\n\n", " \n", "\n ")):
             return self.split(text)
         return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
 
