@@ -20,8 +20,11 @@ def lexed(code: Column, pattern: str = LEXER) -> Column:
     return F.regexp_extract_all(code, F.lit(pattern), F.lit(0))
 
 
-def token_distance(a: Column, b: Column) -> Column:
-    """Edits that make one token list of the other; both together have under 60,000 different tokens."""
+def token_distance(a: Column, b: Column, within: int | None = None) -> Column:
+    """Edits that make one token list of the other; both together have under 60,000 different tokens.
+
+    With ``within``, -1 beyond that distance, which costs far less than the distance.
+    """
     vocabulary = F.array_distinct(F.concat(a, b))
 
     def coded(tokens: Column) -> Column:
@@ -29,7 +32,9 @@ def token_distance(a: Column, b: Column) -> Column:
         utf32 = F.transform(at, lambda c: F.lpad(F.hex(c), 8, "0"))
         return F.coalesce(F.decode(F.unhex(F.array_join(utf32, "")), "UTF-32"), F.lit(""))
 
-    return F.levenshtein(coded(a), coded(b))
+    single = F.forall(F.concat(a, b), lambda t: F.length(t) == 1)  # characters stand for themselves
+    x, y = [F.when(single, F.array_join(t, "")).otherwise(coded(t)) for t in (a, b)]
+    return F.levenshtein(x, y) if within is None else F.levenshtein(x, y, within)
 
 
 def scored_pairs(rows: DataFrame, id_: str, tokens: str, block: list[str] | None = None, within: int | None = None) -> DataFrame:
@@ -44,8 +49,8 @@ def scored_pairs(rows: DataFrame, id_: str, tokens: str, block: list[str] | None
     pairs = pairs.where("id_a < id_b")
     if within is not None:
         pairs = pairs.where(F.abs(F.size("ta") - F.size("tb")) <= within)
-    out = pairs.select("id_a", "id_b", *block, token_distance(F.col("ta"), F.col("tb")).alias("distance"))
-    return out if within is None else out.where(F.col("distance") <= within)
+    out = pairs.select("id_a", "id_b", *block, token_distance(F.col("ta"), F.col("tb"), within).alias("distance"))
+    return out if within is None else out.where("distance >= 0")
 
 
 def token_classes(rows: DataFrame, id_: str, tokens: str) -> DataFrame:
@@ -94,4 +99,4 @@ def pairs_within(rows: DataFrame, id_: str, tokens: str, within: int) -> DataFra
     met = posts.join(probes, ["n", "i", "h"]).where("a != b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
     sides = [lists.select(F.col("id").alias(k), F.col("w").alias(w)) for k, w in (("id_a", "ta"), ("id_b", "tb"))]
     both = met.join(sides[0], "id_a").join(sides[1], "id_b")
-    return both.select("id_a", "id_b", token_distance(F.col("ta"), F.col("tb")).alias("distance")).where(F.col("distance") <= within)
+    return both.select("id_a", "id_b", token_distance(F.col("ta"), F.col("tb"), within).alias("distance")).where("distance >= 0")

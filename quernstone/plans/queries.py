@@ -317,11 +317,11 @@ def ledger_missing(spark, folder):
     return ledger.missing(e.select("user_id").distinct(), e.where("event_type = 'purchase' and value > 80"), ["user_id"])
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 60 INTERSECT SELECT user_id FROM events WHERE event_type = 'click' AND value > 60)")
+@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100 INTERSECT SELECT user_id FROM events WHERE event_type = 'click' AND value > 100)")
 def ledger_incomplete(spark, folder):
     """Users that lack a large purchase or a large click: one of two artefacts."""
     e = table(spark, folder, "events")
-    return ledger.incomplete(e.select("user_id").distinct(), [e.where("event_type = 'purchase' and value > 60"), e.where("event_type = 'click' and value > 60")], ["user_id"])
+    return ledger.incomplete(e.select("user_id").distinct(), [e.where("event_type = 'purchase' and value > 100"), e.where("event_type = 'click' and value > 100")], ["user_id"])
 
 
 @query("SELECT user_id, max(CASE WHEN event_type = 'purchase' AND value > 80 THEN 1 ELSE 0 END)::INT AS old FROM events GROUP BY 1")
