@@ -11,7 +11,8 @@ segment.  Groups of one gram that occurs once have no repeats; groups whose
 segments are all the same are repeats throughout; the segments of the other
 groups, each different one once, are suffix-sorted: buckets of 8-byte grams
 are refined by sorting on the bucket identifiers at the offset reached so far,
-and the refined identifiers serve the next, twice as deep, refinement.
+and the refined identifiers serve the next, twice as deep, refinement.  Groups
+too large for one task have their strings counted by hash across tasks.
 
 A document whose text another row repeats is all repeats if it has ``width``
 bytes, so equal texts take part once.
@@ -34,7 +35,7 @@ from quernstone.llm import _run, _text
 
 GRAM = 160
 SLAB = 1 << 19
-#: Positions that one suffix sort takes; a group beyond it is compared offset by offset.
+#: Positions that one suffix sort takes; the strings of a group beyond it are counted across tasks.
 SORTED = 1 << 20
 
 _BASE = int(_text.BASE)
@@ -74,7 +75,7 @@ def _window_min(a: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, off: np.ndarray, width: int, gram: int = GRAM):
-    """Segments of a batch of texts: document, start, starts, anchor offset, gram hash, own hash."""
+    """Segments of a batch of texts: document, start, starts, gram hash, own hash."""
     w = width - gram + 1
     mask = np.uint64((1 << 21) - 1)
     parts = []
@@ -105,10 +106,10 @@ def segments(data: np.ndarray, off: np.ndarray, width: int, gram: int = GRAM):
         s0 = s[i]
         own = (q[s0 + runs - 1 + width] - q[s0]) * _inverse_powers(n)[s0]
         own = _text.mix(own ^ runs.astype(np.uint64))
-        parts.append((doc[i], s0 + at - off[doc[i]], runs, p[i] - s0, g[p[i]], own))
+        parts.append((doc[i], s0 + at - off[doc[i]], runs, g[p[i]], own))
     if not parts:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z.view(np.uint64), z.view(np.uint64)
+        return z, z, z, z.view(np.uint64), z.view(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -175,30 +176,10 @@ def _sort_groups(gram: np.ndarray, texts: list[bytes], starts: np.ndarray, weigh
     return np.split(count[inv] > 1, np.cumsum(starts)[:-1])
 
 
-def _compare_offsets(texts: list[bytes], starts: np.ndarray, anchor: np.ndarray, weight: np.ndarray, width: int):
-    """The same for one large group, one offset from the anchor at a time with rolling hashes."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    size = starts + width - 1
-    begin = np.cumsum(size) - size
-    out = [np.zeros(n, bool) for n in starts.tolist()]
-    power = _text.powers(width)
-    h = np.zeros(len(texts), np.uint64)
-    live = np.zeros(len(texts), bool)
-    low, high = anchor - starts + 1, anchor
-    for o in range(int(low.min()), int(high.max()) + 1):
-        here = np.flatnonzero((low <= o) & (o <= high))
-        at = begin[here] + anchor[here] - o
-        old = live[here]
-        i, p = here[old], at[old]
-        h[i] = (h[i] - (data[p + width].astype(np.uint64) + np.uint64(1)) * power[-1]) * _text.BASE + data[p] + np.uint64(1)
-        for i, p in zip(here[~old].tolist(), at[~old].tolist()):
-            h[i] = ((data[p : p + width].astype(np.uint64) + np.uint64(1)) * power).sum(dtype=np.uint64)
-        live[here] = True
-        _, inv = np.unique(h[here], return_inverse=True)
-        count = np.bincount(inv, weight[here])
-        for i in here[count[inv] > 1].tolist():
-            out[i][anchor[i] - o] = True
-    return out
+def _string_hashes(text: bytes, starts: int, width: int) -> np.ndarray:
+    """A hash of the string at each start of one segment."""
+    q = _sums(np.frombuffer(text, np.uint8))
+    return _text.mix((q[width : width + starts] - q[:starts]) * _inverse_powers(starts))
 
 
 def _ranges(flags: np.ndarray) -> bytes:
@@ -215,53 +196,79 @@ def _repeats_in_groups(width: int):
         for t, at in _text.runs(it, "gram"):
             n = t.column("starts").to_numpy().astype(np.int64)
             size = np.cumsum(n + width - 1)
-            weight = np.minimum(t.column("n").to_numpy(), 2)
+            weight = t.column("n").to_numpy()
             i = 0
             while i < len(at) - 1:
                 a, done = int(at[i]), size[at[i] - 1] if at[i] else 0
                 j = max(i + 1, int(np.searchsorted(size[at[1:] - 1], done + SORTED, "right")))
                 b = int(at[j])
                 part = t.slice(a, b - a)
-                texts = part.column("segment").to_pylist()
-                if size[b - 1] - done <= SORTED:
-                    flags = _sort_groups(part.column("gram").to_numpy(), texts, n[a:b], weight[a:b], width)
-                else:
-                    flags = _compare_offsets(texts, n[a:b], part.column("anchor").to_numpy().astype(np.int64), weight[a:b], width)
-                yield emit(part, flags)
+                yield emit(part, _sort_groups(part.column("gram").to_numpy(), part.column("segment").to_pylist(), n[a:b], weight[a:b], width))
                 i = j
 
     return run
 
 
+def _repeats_in_wide_groups(segments: DataFrame, width: int) -> DataFrame:
+    """The same, ``(gram, own, ranges)``, for groups that no single task should hold.
+
+    Every string of the group is one row, counted by its hash with partial
+    aggregation, and those that occur again are put together by segment.
+    """
+
+    def strings(it):
+        for b in it:
+            for i in range(b.num_rows):
+                n = b.column(3)[i].as_py()
+                h = _string_hashes(b.column(4)[i].as_py(), n, width)
+                same = [pa.array(np.full(n, b.column(c)[i].as_py(), np.int64)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n, dtype=np.int32)), pa.array(h.view(np.int64))], ["gram", "own", "n", "i", "h"])
+
+    def joined(it):
+        for b in it:
+            out = []
+            for at in b.column(2):
+                i = np.sort(at.values.to_numpy())
+                cut = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1] + 1)))
+                out.append(np.stack((i[cut], i[np.append(cut[1:] - 1, len(i) - 1)] + 1), 1).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _text.binaries(out)], ["gram", "own", "ranges"])
+
+    rows = segments.select("gram", "own", "n", "starts", "segment").mapInArrow(strings, "gram long, own long, n long, i int, h long")
+    again = _run.cut(rows.groupBy("gram", "h").agg(F.sum("n").alias("c")).where("c > 1").select("gram", "h"), "again")  # as a table, so that a join on a hot string can be split
+    hit = rows.join(again, ["gram", "h"]).groupBy("gram", "own").agg(F.collect_list("i").alias("at"))
+    return hit.mapInArrow(joined, "gram long, own long, ranges binary")
+
+
 def repeated_ranges(docs: DataFrame, width: int = 400) -> tuple[DataFrame, DataFrame]:
-    """Each row's text key and copies, and for each text key the starts of repeated strings.
+    """Keys of texts that several rows have, and for each text key the starts of repeated strings.
 
-    The first table has (doc_id, key, n_bytes, copies), the second
-    (key, first list, past list): ranges of starts, for texts of any number of copies.
+    The first table has (key, copies), the second (key, first list, past list):
+    ranges of starts.
     """
     spark = docs.sparkSession
 
     def scan(it):
         for b in _text.batches(it, 2 << 20):
             data, off = _text.flat(b.column(2))
-            doc, s0, n, anchor, gram, own = segments(data, off, width)
+            doc, s0, n, gram, own = segments(data, off, width)
             bounds = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (s0.astype(np.int32), n.astype(np.int32), anchor.astype(np.int32), gram.view(np.int64), own.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(off)), *lists], ["doc_id", "key", "n_bytes", "s0", "starts", "anchor", "gram", "own"])
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (s0.astype(np.int32), n.astype(np.int32), gram.view(np.int64), own.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc_id", "key", "s0", "starts", "gram", "own"])
 
     _run.small_batches(spark, 500)
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    scanned = keyed.mapInArrow(scan, "doc_id long, key long, n_bytes long, s0 array<int>, starts array<int>, anchor array<int>, gram array<long>, own array<long>")
+    scanned = keyed.mapInArrow(scan, "doc_id long, key long, s0 array<int>, starts array<int>, gram array<long>, own array<long>")
     scanned = _run.cut(scanned, "segments")
-    rows = scanned.select("doc_id", "key", "n_bytes")
-    copies = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("from"))
-    each = scanned.where("size(gram) > 0").join(copies.withColumnRenamed("key", "k").where("copies > 1"), F.col("key") == F.col("k"), "left")
+    rows = scanned.select("doc_id", "key")
+    copies = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("from")).where("copies > 1")
+    copies = _run.cut(copies, "copies")  # as a table, so that a join on a hot text can be split
+    each = scanned.where("size(gram) > 0").join(copies.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left")
     each = each.where("copies is null or doc_id <=> `from`")
-    seg = each.select("key", "doc_id", F.explode(F.arrays_zip("s0", "starts", "anchor", "gram", "own")).alias("x")).select("key", "doc_id", "x.*")
+    seg = each.select("key", "doc_id", F.explode(F.arrays_zip("s0", "starts", "gram", "own")).alias("x")).select("key", "doc_id", "x.*")
     grams = seg.groupBy("gram").agg(F.count("*").alias("c"), F.min("own").alias("low"), F.max("own").alias("high")).where("c > 1")
     grams = _run.cut(grams.select("gram", F.expr("low != high").alias("mixed")), "grams")  # as a table, so that a join on a hot gram can be split
     seg = _run.cut(seg.join(grams, "gram"), "met")
-    mixed = seg.where("mixed").groupBy("gram", "own").agg(F.count("*").alias("n"), F.min(F.struct("key", "s0", "doc_id", "starts", "anchor")).alias("x"))
+    mixed = seg.where("mixed").groupBy("gram", "own").agg(F.count("*").alias("n"), F.min(F.struct("key", "s0", "doc_id", "starts")).alias("x"))
     mixed = _run.cut(mixed.select("gram", "own", F.least("n", F.lit(2)).alias("n"), "x.*"), "different")
 
     def cut_out(it):
@@ -269,14 +276,19 @@ def repeated_ranges(docs: DataFrame, width: int = 400) -> tuple[DataFrame, DataF
             texts = b.column(0).cast(pa.binary()).to_pylist()
             s0, n = b.column(4).to_numpy(), b.column(5).to_numpy()
             seg = pa.array([x[s : s + k + width - 1] for x, s, k in zip(texts, s0.tolist(), n.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:4], *b.columns[5:7], seg], ["gram", "own", "n", "starts", "anchor", "segment"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:4], *b.columns[5:7], seg], ["gram", "own", "n", "starts", "wide", "segment"])
 
-    wanted = mixed.groupBy("key", "doc_id").agg(F.collect_list(F.struct("gram", "own", "n", "s0", "starts", "anchor")).alias("want"))
+    wide = mixed.groupBy("gram").agg(F.sum(F.col("starts") + width - 1).alias("size")).where(F.col("size") > SORTED).select("gram", F.lit(True).alias("wide"))
+    wide = _run.cut(wide, "wide")
+    mixed = mixed.join(wide, "gram", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
+    wanted = mixed.groupBy("key", "doc_id").agg(F.collect_list(F.struct("gram", "own", "n", "s0", "starts", "wide")).alias("want"))
     same = (keyed["key"] == wanted["key"]) & keyed["doc_id"].eqNullSafe(wanted["doc_id"])
     texts = keyed.join(wanted, same).select("text", F.explode("want").alias("x")).select("text", "x.*")
-    texts = texts.mapInArrow(cut_out, "gram long, own long, n long, starts int, anchor int, segment binary")
-    found = texts.repartition("gram").sortWithinPartitions("gram", "own").mapInArrow(_repeats_in_groups(width), "gram long, own long, ranges binary")
-    found = found.dropDuplicates(["gram", "own"])
+    texts = texts.mapInArrow(cut_out, "gram long, own long, n long, starts int, wide boolean, segment binary")
+    found = texts.where("not wide").repartition("gram").sortWithinPartitions("gram", "own").mapInArrow(_repeats_in_groups(width), "gram long, own long, ranges binary")
+    if wide.limit(1).count():
+        found = found.unionByName(_repeats_in_wide_groups(_run.cut(texts.where("wide"), "wide"), width))
+    found = _run.cut(found.dropDuplicates(["gram", "own"]), "found")  # as a table, so that a join on a hot segment can be split
 
     def place(it):
         for b in it:
@@ -289,7 +301,7 @@ def repeated_ranges(docs: DataFrame, width: int = 400) -> tuple[DataFrame, DataF
     some = some.mapInArrow(place, "key long, first int, past int")
     every = seg.where("not mixed").select("key", F.col("s0").alias("first"), F.expr("s0 + starts").alias("past"))
     ranges = every.unionByName(some).groupBy("key").agg(F.collect_list("first").alias("first"), F.collect_list("past").alias("past"))
-    return rows.join(copies.select("key", "copies"), "key", "left"), _run.cut(ranges, "ranges")
+    return copies.select("key", "copies"), ranges
 
 
 def spans_of(n_bytes: int, copied: bool, first, past, width: int) -> np.ndarray:
@@ -309,9 +321,8 @@ def spans_of(n_bytes: int, copied: bool, first, past, width: int) -> np.ndarray:
 
 def with_spans(docs: DataFrame, width: int, keep: list[str], finish, schema: str) -> DataFrame:
     """Apply ``finish(batch, texts, spans)`` to all rows with the spans to remove of each text."""
-    rows, ranges = repeated_ranges(docs, width)
-    copied = rows.where("copies > 1").select("key", "copies").distinct()
-    marks = ranges.join(copied, "key", "full")
+    copied, ranges = repeated_ranges(docs, width)
+    marks = _run.cut(ranges.join(copied, "key", "full"), "marks")  # as a table, so that a join on a hot text can be split
     keyed = docs.select(*keep, "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
 
     def run(it):
