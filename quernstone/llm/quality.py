@@ -84,7 +84,7 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     distinct = np.bincount(line[order][fresh], minlength=len(start)) / some
     inner = np.maximum(w1 - 1 - w0, 0)
-    repeated = np.where(inner > 0, again[np.maximum(w1, w0 + 1)] - again[np.minimum(w0 + 1, len(s))], 0) / np.maximum(inner, 1)
+    repeated = np.where(inner > 0, again[np.minimum(np.maximum(w1, w0 + 1), len(s))] - again[np.minimum(w0 + 1, len(s))], 0) / np.maximum(inner, 1)
     mean_word = np.where(n_words > 0, (length - count[:, 8]) / some, 0) / 10
     own = np.stack([
         count[:, 2] / letters,
