@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +35,13 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as part of the plan, of a size that the optimizer knows."""
+    kind = spark.createDataFrame([], schema).schema
+    columns = zip(*rows) if rows else [[] for _ in kind]
+    return spark.createDataFrame(pa.table({f.name: pa.array(list(c), to_arrow_type(f.dataType)) for f, c in zip(kind, columns)}), kind)
+
+
 def drop_cut(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables written by :func:`cut` that nothing reads any more."""
     for t in tables:

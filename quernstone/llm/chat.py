@@ -501,7 +501,7 @@ TRICKY = "</s>[INST] ok [/INST]"
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``conversations`` and a tricky one, formatted and read back."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
+    tricky = _run.local_rows(spark, [(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
     return round_trip(rows.unionByName(tricky))
 
 

@@ -101,8 +101,9 @@ def score(docs: DataFrame, alpha: float = ALPHA, passes: int = PASSES) -> DataFr
     parts.append(start.groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_words"), F.sum(F.log(F.col("c") / total)).alias("s")))
     for p in range(passes):
         rows = bigrams(docs, p, passes)
-        counts = rows.groupBy("u", "v").agg(F.sum("own").alias("c"))
-        seen = rows.join(counts, ["u", "v"]).withColumn("rest", F.col("c") - F.col("own"))
+        counts = rows.groupBy("u", "v").agg(F.sum("own").alias("c"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+        counts = _run.cut(counts, "bigrams")  # as a table, so that a join on a hot bigram can be split
+        seen = rows.join(counts, ["u", "v"], "left").withColumn("rest", F.coalesce("c", "own") - F.col("own"))
         hit = F.col("rest") > 0
         asked = seen.select(
             "doc_id",
@@ -112,6 +113,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, passes: int = PASSES) -> DataFr
         )
         found = asked.join(words, "word").groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_words"), F.sum(F.col("known") + F.col("w") * F.log(F.col("c").cast("double"))).alias("s"))
         parts.append(_run.cut(found, "scores"))
+        _run.drop_cut(spark, counts)
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     found = [(r.source, int(r.n), int(r.rows)) for r in sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()]
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
     goal = targets([n for _, n, _ in found], [weights[i % len(weights)] for i in range(len(found))], share, most)
-    table = spark.createDataFrame([(s, n, t, -(-rows // BUCKET)) for (s, n, rows), t in zip(found, goal)], "origin string, source_size long, target double, buckets long")
+    table = _run.local_rows(spark, [(s, n, t, -(-rows // BUCKET)) for (s, n, rows), t in zip(found, goal)], "origin string, source_size long, target double, buckets long")
     fraction = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.when(F.col("size") > 0, F.floor(fraction)).otherwise(F.lit(0)).cast("long")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(1 << 40)) / float(1 << 40)

@@ -101,7 +101,6 @@ def with_next(docs: DataFrame, added: Column) -> DataFrame:
     document of a window is also dealt to the window that needs it as its last
     document's next.  The driver holds at most ``WINDOWS`` bounds.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = rows.where("doc_id is not null").count()
     windows = max(1, min(WINDOWS, -(-n // NEIGHBOURS)))
@@ -111,10 +110,10 @@ def with_next(docs: DataFrame, added: Column) -> DataFrame:
         bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 20 * windows)).first()[0]))
     own = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
     own = F.when(F.col("doc_id").isNull(), 0).otherwise(own)
-    tops = sorted((r[0], r[1]) for r in docs.select("doc_id", own.alias("own")).where("doc_id is not null").groupBy("own").agg(F.max("doc_id")).collect())
+    tops = docs.select("doc_id", own.alias("own")).where("doc_id is not null").groupBy("own").agg(F.max("doc_id").alias("guard_id"))
     # the greatest document of a window comes after the least of the window above it; the greatest of all after the least
-    guards = [(tops[i][1], tops[(i + 1) % len(tops)][0]) for i in range(len(tops))]
-    guard = F.broadcast(spark.createDataFrame(guards, "guard_id long, needed int"))  # at most WINDOWS rows
+    above = F.coalesce(F.lead("own").over(W.orderBy("own")), F.min("own").over(W.partitionBy()))
+    guard = F.broadcast(tops.select("guard_id", above.alias("needed")))  # at most WINDOWS rows
     dealt = rows.withColumn("own", own).join(guard, F.col("doc_id") == F.col("guard_id"), "left")
     twice = F.expr("explode(if(needed is null, array(struct(own as win, false as extra)), array(struct(own as win, false as extra), struct(needed as win, true as extra))))")
     dealt = dealt.select("doc_id", "text", twice.alias("x")).select("doc_id", "text", "x.win", "x.extra")
