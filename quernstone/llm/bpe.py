@@ -20,12 +20,13 @@ import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import _run, _text
 
-#: Chunks whose ids a worker remembers; when full, it forgets all and goes on.
+#: Chunks whose ids a worker remembers; when full, it keeps them until as many new ones have come.
 REMEMBERED = 400_000
 #: Blanks (and the character that marks cuts) besides space and line feed.
 _OTHER_BLANKS = re.compile(r"[\x00\x0b-\x0d\x09\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]").search
@@ -47,8 +48,12 @@ class RankQueue:
         bucket = self.buckets[rank]
         if bucket is not None:
             bucket.append(position)
-            return
-        self.buckets[rank] = [position]
+        else:
+            self.fill(rank, [position])
+
+    def fill(self, rank: int, positions: list[int]) -> None:
+        """Give a rank that isn't in use its bucket."""
+        self.buckets[rank] = positions
         for words in self.levels:
             at = rank >> 6
             had = words[at]
@@ -95,7 +100,9 @@ class BytePairCoder:
         for piece, rank in ranks.items():
             self.token[rank] = piece
         self.text = [str(i) for i in range(len(self.token))]
-        self.byte = [ranks.get(bytes([i]), -1) for i in range(256)]
+        self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)])
+        #: The rank of each pair of bytes, -1 without one.
+        self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
         #: Every pair of tokens that makes a token: left << 32 | right -> rank.
         self.pairs = {
             ranks[left] << 32 | ranks[right]: rank
@@ -105,72 +112,71 @@ class BytePairCoder:
         }
         self.queue = RankQueue(len(self.token))
         self.known: dict[str, tuple[int, ...]] = {}
+        self.earlier: dict[str, tuple[int, ...]] = {}
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each non-empty piece."""
-        out: list[tuple[int, ...]] = [()] * len(pieces)
-        tok: list[int] = []
-        nxt: list[int] = []
-        prv: list[int] = []
-        heads: list[tuple[int, int]] = []
-        byte, ranks, queue = self.byte, self.ranks, self.queue
-        push, pair, buckets = queue.push, self.pairs.get, queue.buckets
-        for k, piece in enumerate(pieces):
-            whole = ranks.get(piece)
-            if whole is not None:
-                out[k] = (whole,)
-                continue
-            at, n = len(tok), len(piece)
-            heads.append((k, at))
-            own = [byte[c] for c in piece]
-            tok += own
-            nxt += range(at + 1, at + n)
-            nxt.append(-1)
-            prv.append(-1)
-            prv += range(at, at + n - 1)
-            a = own[0]
-            for b in own[1:]:
-                r = pair(a << 32 | b)
-                if r is not None:
-                    if buckets[r] is None:
-                        push(r, at)
-                    else:
-                        buckets[r].append(at)
-                at += 1
-                a = b
+        ranks = self.ranks
+        out: list[tuple[int, ...]] = [() if (r := ranks.get(p)) is None else (r,) for p in pieces]
+        rest = [k for k, ids in enumerate(out) if not ids]
+        if not rest:
+            return out
+        data = np.frombuffer(b"".join([pieces[k] for k in rest]), np.uint8)
+        end = np.cumsum([len(pieces[k]) for k in rest])
+        n = len(data)
+        # each position is a list node: its token, the rank of its pair with the next one, its neighbours
+        tok: list[int] = self.byte[data].tolist()
+        cur = np.full(n, -1, np.int64)
+        cur[:-1] = self.byte_pairs[data[:-1], data[1:]]
+        cur[end - 1] = -1
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt[end - 1], prv[end[:-1]], prv[0] = -1, -1, -1
+        queue, pair = self.queue, self.pairs.get
+        push = queue.push
+        at = np.flatnonzero(cur >= 0)
+        at = at[np.argsort(cur[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(cur[at], prepend=-1))
+        for r, own in zip(cur[at[cuts]].tolist(), np.split(at, cuts[1:])):
+            queue.fill(r, own.tolist())
+        cur, nxt, prv = cur.tolist(), nxt.tolist(), prv.tolist()
         while (rank := queue.first()) >= 0:
             bucket = queue.take(rank)
             for done, i in enumerate(bucket):
-                j = nxt[i]
-                if j < 0 or pair(tok[i] << 32 | tok[j]) != rank:
+                if cur[i] != rank:
                     continue  # stale
-                tok[i] = rank
-                tok[j] = -1
+                j = nxt[i]
                 k = nxt[i] = nxt[j]
-                nxt[j] = -1
+                tok[i] = rank
+                cur[j] = -1
                 lower = False
                 if k >= 0:
                     prv[k] = i
-                    r = pair(rank << 32 | tok[k])
-                    if r is not None:
+                    r = pair(rank << 32 | tok[k], -1)
+                    cur[i] = r
+                    if r >= 0:
                         push(r, i)
                         lower = r < rank
+                else:
+                    cur[i] = -1
                 p = prv[i]
                 if p >= 0:
-                    r = pair(tok[p] << 32 | rank)
-                    if r is not None:
+                    r = pair(tok[p] << 32 | rank, -1)
+                    cur[p] = r
+                    if r >= 0:
                         push(r, p)
                         lower |= r < rank
                 if lower:  # a better merge has come up: the rest of this bucket waits
                     for left in bucket[done + 1 :]:
                         push(rank, left)
                     break
-        for k, at in heads:
-            ids = []
+        start = 0
+        for k, stop in zip(rest, end.tolist()):
+            ids, at = [], start
             while at >= 0:
                 ids.append(tok[at])
                 at = nxt[at]
             out[k] = tuple(ids)
+            start = stop
         return out
 
     def chunks(self, text: str) -> list[str]:
@@ -187,11 +193,13 @@ class BytePairCoder:
     def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:
         """Ids of each text, special tokens unknown."""
         cut = [self.chunks(t) for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        fresh = [c for c in set().union(*cut) if c not in known]
-        split = [self.split(c) for c in fresh]
+        wanted = set().union(*cut)
+        if len(self.known) > REMEMBERED:
+            self.known, self.earlier = {}, self.known
+        known, earlier = self.known, self.earlier
+        known.update((c, earlier[c]) for c in wanted if c in earlier)
+        fresh = [c for c in wanted if c not in known]
+        split = [[c] if (c[1:] if c[:1] == " " else c).isalpha() else self.split(c) for c in fresh]
         pieces = list(set(chain.from_iterable(split)))
         ids = dict(zip(pieces, self.merge([p.encode() for p in pieces])))
         known.update((c, ids[s[0]] if len(s) == 1 else tuple(chain.from_iterable(ids[p] for p in s))) for c, s in zip(fresh, split))
