@@ -234,6 +234,18 @@ def test_results_of_programs():
     assert execution.filter_imports(["import math", "import nothing_like_it", "x = math.pi"]) == ["import math", "x = math.pi"]
 
 
+def test_traces_and_imports(spark):
+    code = "def f(x):\n    y = x + 1\n    if y > 2:\n        return y\n    return\nf(1)\nf(2)"
+    x = execution.traced(constant_rows(spark, [(code,), (code,), (None,), ("x =",)], "program string"), allow=True, tasks=1)
+    got = {r.program: (r.result, r.states) for r in x.collect()}
+    assert x.count() == 4 and got[None] == (None, None) and got["x ="][0].startswith("failed: ")
+    result, states = got[code]
+    assert result == "passed" and [{k: v.str_value for k, v in s.items()} for s in states] == [{"x": "1", "y": "2"}, {"x": "2", "y": "3", "_return_val": "3"}]
+    rows = constant_rows(spark, [(1, ["import math", "import nothing_like_it"])], "k int, imports array<string>")
+    r = execution.legal_imports(rows, allow=True, tasks=1).first()
+    assert (r.legal, r.illegal) == (["import math"], ["import nothing_like_it"])
+
+
 def test_arena_records(spark, tmp_path):
     path = tmp_path / "rows.json"
     path.write_text('{"update": {"function_path": "m.f", "unit_tests": "a\\n\\nb", "imports": "import m\\nimport n"}, "update_id": "[m.f]:[t-x]:[update-1]", "prog_syn_id": "[m.f]:[t-x]:[update-1]:[prog_syn-10]", "scenario": "s", "problem": "p", "solution_signature": "g", "unit_tests": "t", "prog_syn_imports": "import q", "ref_solution": "r"}\n{broken\n')
