@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quernstone.llm import _run, _text
 
 #: Chunks whose ids a worker remembers; when full, it keeps them until as many new ones have come.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: Blanks (and the character that marks cuts) besides space and line feed.
 _OTHER_BLANKS = re.compile(r"[\x00\x0b-\x0d\x09\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]").search
 
@@ -249,7 +249,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
     _run.small_batches(docs.sparkSession)
     df = docs.selectExpr(f"`{id_col}`", f"`{text_col}` as text")
-    return df.mapInArrow(run, f"`{id_col}` {df.schema[0].dataType.simpleString()}, ids array<int>")
+    return df.mapInArrow(_run.tidy(run), f"`{id_col}` {df.schema[0].dataType.simpleString()}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -263,7 +263,7 @@ def decode(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", i
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], [id_col, "data"])
 
     df = tokens.selectExpr(f"`{id_col}`", f"`{ids_col}` as ids")
-    return df.mapInArrow(run, f"`{id_col}` {df.schema[0].dataType.simpleString()}, data binary")
+    return df.mapInArrow(_run.tidy(run), f"`{id_col}` {df.schema[0].dataType.simpleString()}, data binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -281,7 +281,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(back_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     _run.small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(_run.tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -465,7 +465,7 @@ def formatted(rows: DataFrame, template: str = TURNS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([text], pa.string()), pa.array([[{"start": a, "end": b} for a, b in spans]], kind)], ["conv_id", "text", "generated"])
 
     _run.small_batches(rows.sparkSession)
-    return _in_order(rows).mapInArrow(run, "conv_id long, text string, generated array<struct<start:long,end:long>>")
+    return _in_order(rows).mapInArrow(_run.tidy(run), "conv_id long, text string, generated array<struct<start:long,end:long>>")
 
 
 def round_trip(rows: DataFrame, template: str = TURNS) -> DataFrame:
@@ -491,7 +491,7 @@ def round_trip(rows: DataFrame, template: str = TURNS) -> DataFrame:
             yield batch()
 
     _run.small_batches(rows.sparkSession)
-    return _in_order(rows).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _in_order(rows).mapInArrow(_run.tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: A conversation full of control strings.

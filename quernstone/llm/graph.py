@@ -65,7 +65,7 @@ def components(links: DataFrame) -> DataFrame:
     one) and shortcutting (a node points to what its target points to), each a
     partial aggregation and joins on single nodes, until nothing moves.
     """
-    e = links.where("u != v").selectExpr("greatest(u, v) u", "least(u, v) v").mapInArrow(_contract, "u long, v long")
+    e = links.where("u != v").selectExpr("greatest(u, v) u", "least(u, v) v").mapInArrow(_run.tidy(_contract), "u long, v long")
     e = _run.cut(e.distinct().withColumn("live", F.lit(True)), "links")
     while e.where("live").limit(1).count():
         low = e.groupBy("u").agg(F.min("v").alias("m"))

@@ -47,7 +47,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             word, n = np.unique(_words(b.column(0))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return docs.select("text").mapInArrow(_run.tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def bigrams(docs: DataFrame, part: int, parts: int) -> DataFrame:
@@ -73,7 +73,7 @@ def bigrams(docs: DataFrame, part: int, parts: int) -> DataFrame:
             ids = b.column(0).take(pa.array(doc[at]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(u[order][at]), pa.array(v[order][at]), pa.array(own)], ["doc_id", "u", "v", "own"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, u long, v long, own int")
+    return docs.select("doc_id", "text").mapInArrow(_run.tidy(run), "doc_id long, u long, v long, own int")
 
 
 def first_words(docs: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def first_words(docs: DataFrame) -> DataFrame:
             first = pa.array(np.append(word, 0)[counts[:-1]], mask=n == 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), first], ["doc_id", "n_words", "word"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, word long")
+    return docs.select("doc_id", "text").mapInArrow(_run.tidy(run), "doc_id long, n_words long, word long")
 
 
 def score(docs: DataFrame, alpha: float = ALPHA, passes: int = PASSES) -> DataFrame:

@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
     _run.small_batches(docs.sparkSession, 500)
     rows = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), "text")
-    return rows.mapInArrow(run, "doc_id long, rid long, node long, n_shingles long, coords array<long>")
+    return rows.mapInArrow(_run.tidy(run), "doc_id long, rid long, node long, n_shingles long, coords array<long>")
 
 
 def _block_pairs(df: DataFrame, blocks, key: str, node: str) -> DataFrame:
@@ -127,7 +127,7 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     sketch = F.unhex(F.array_join(F.transform(short, lambda x: F.lpad(x, 4, "0")), ""))
     meet = posts.join(lists, "post").join(nodes.select("node", sketch.alias("sketch")), "node")
     meet = _block_pairs(meet, F.ceil(F.col("n") / LIST_ROWS), "post", "node").select("run", "node", "sketch")
-    return meet.repartition("run").sortWithinPartitions("run").mapInArrow(_meet, "u long, v long")
+    return meet.repartition("run").sortWithinPartitions("run").mapInArrow(_run.tidy(_meet), "u long, v long")
 
 
 def _confirm(percent: int):
@@ -175,8 +175,8 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, words: int, percent: int
     if groups.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
     rows = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), "text").join(side, "rid").select("run", "node", "text")
-    rows = rows.mapInArrow(sets_of, "run long, node long, shingles binary")
-    return rows.repartition("run").sortWithinPartitions("run").mapInArrow(_confirm(percent), "u long, v long")
+    rows = rows.mapInArrow(_run.tidy(sets_of), "run long, node long, shingles binary")
+    return rows.repartition("run").sortWithinPartitions("run").mapInArrow(_run.tidy(_confirm(percent)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

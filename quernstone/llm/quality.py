@@ -239,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 3, left_out: int = 1,
 
     _run.small_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, "quality", fold, left_out, sample).selectExpr("doc_id", "text", "cast(label as int) label")
-    got = sorted({(r.doc_id, bytes(r.x)): r for r in rows.mapInArrow(run, "doc_id long, label int, x binary, length binary").collect()}.items())
+    got = sorted({(r.doc_id, bytes(r.x)): r for r in rows.mapInArrow(_run.tidy(run), "doc_id long, label int, x binary, length binary").collect()}.items())
     got = [r for _, r in got]
     length = [np.frombuffer(r.length, np.int32) for r in got]
     before = np.concatenate(([0], np.cumsum([len(x) for x in length]))).astype(np.int64)
@@ -259,7 +259,7 @@ def score(docs: DataFrame, field: LineField, keep: list[str]) -> DataFrame:
     _run.small_batches(docs.sparkSession)
     df = docs.select(*keep, "text")
     kind = df.select(*keep).schema.add("score", "double")
-    return df.mapInArrow(run, kind)
+    return df.mapInArrow(_run.tidy(run), kind)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, at_least: float = 0.5) -> DataFrame:
@@ -273,7 +273,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, at_least: float = 0.5) ->
             yield b.filter(pa.array(field.scores(b.column(at)) >= at_least))
 
     _run.small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, kind)
+    return docs.mapInArrow(_run.tidy(run), kind)
 
 
 def op1_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

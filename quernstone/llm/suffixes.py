@@ -233,10 +233,10 @@ def _repeats_in_wide_groups(segments: DataFrame, width: int) -> DataFrame:
                 out.append(np.stack((i[cut], i[np.append(cut[1:] - 1, len(i) - 1)] + 1), 1).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _text.binaries(out)], ["gram", "own", "ranges"])
 
-    rows = segments.select("gram", "own", "n", "starts", "segment").mapInArrow(strings, "gram long, own long, n long, i int, h long")
+    rows = segments.select("gram", "own", "n", "starts", "segment").mapInArrow(_run.tidy(strings), "gram long, own long, n long, i int, h long")
     again = _run.cut(rows.groupBy("gram", "h").agg(F.sum("n").alias("c")).where("c > 1").select("gram", "h"), "again")  # as a table, so that a join on a hot string can be split
     hit = rows.join(again, ["gram", "h"]).groupBy("gram", "own").agg(F.collect_list("i").alias("at"))
-    return hit.mapInArrow(joined, "gram long, own long, ranges binary")
+    return hit.mapInArrow(_run.tidy(joined), "gram long, own long, ranges binary")
 
 
 def repeated_ranges(docs: DataFrame, width: int = 400) -> tuple[DataFrame, DataFrame]:
@@ -257,7 +257,7 @@ def repeated_ranges(docs: DataFrame, width: int = 400) -> tuple[DataFrame, DataF
 
     _run.small_batches(spark, 500)
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    scanned = keyed.mapInArrow(scan, "doc_id long, key long, s0 array<int>, starts array<int>, gram array<long>, own array<long>")
+    scanned = keyed.mapInArrow(_run.tidy(scan), "doc_id long, key long, s0 array<int>, starts array<int>, gram array<long>, own array<long>")
     scanned = _run.cut(scanned, "segments")
     rows = scanned.select("doc_id", "key")
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("from")).where("copies > 1")
@@ -284,8 +284,8 @@ def repeated_ranges(docs: DataFrame, width: int = 400) -> tuple[DataFrame, DataF
     wanted = mixed.groupBy("key", "doc_id").agg(F.collect_list(F.struct("gram", "own", "n", "s0", "starts", "wide")).alias("want"))
     same = (keyed["key"] == wanted["key"]) & keyed["doc_id"].eqNullSafe(wanted["doc_id"])
     texts = keyed.join(wanted, same).select("text", F.explode("want").alias("x")).select("text", "x.*")
-    texts = texts.mapInArrow(cut_out, "gram long, own long, n long, starts int, wide boolean, segment binary")
-    found = texts.where("not wide").repartition("gram").sortWithinPartitions("gram", "own").mapInArrow(_repeats_in_groups(width), "gram long, own long, ranges binary")
+    texts = texts.mapInArrow(_run.tidy(cut_out), "gram long, own long, n long, starts int, wide boolean, segment binary")
+    found = texts.where("not wide").repartition("gram").sortWithinPartitions("gram", "own").mapInArrow(_run.tidy(_repeats_in_groups(width)), "gram long, own long, ranges binary")
     if wide.limit(1).count():
         found = found.unionByName(_repeats_in_wide_groups(_run.cut(texts.where("wide"), "wide"), width))
     found = _run.cut(found.dropDuplicates(["gram", "own"]), "found")  # as a table, so that a join on a hot segment can be split
@@ -298,7 +298,7 @@ def repeated_ranges(docs: DataFrame, width: int = 400) -> tuple[DataFrame, DataF
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(r[:, 0].astype(np.int32)), pa.array(r[:, 1].astype(np.int32))], ["key", "first", "past"])
 
     some = seg.where("mixed").select("gram", "own", "key", "s0").join(found, ["gram", "own"]).where("length(ranges) > 0").select("key", "s0", "ranges")
-    some = some.mapInArrow(place, "key long, first int, past int")
+    some = some.mapInArrow(_run.tidy(place), "key long, first int, past int")
     every = seg.where("not mixed").select("key", F.col("s0").alias("first"), F.expr("s0 + starts").alias("past"))
     ranges = every.unionByName(some).groupBy("key").agg(F.collect_list("first").alias("first"), F.collect_list("past").alias("past"))
     return copies.select("key", "copies"), ranges
@@ -335,7 +335,7 @@ def with_spans(docs: DataFrame, width: int, keep: list[str], finish, schema: str
             yield finish(b, texts, spans)
 
     marked = keyed.join(marks, "key", "left").select(*keep, "text", "first", "past", "copies")
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(_run.tidy(run), schema)
 
 
 def _left(text: bytes, spans: np.ndarray) -> bytes:

@@ -252,7 +252,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     _run.small_batches(docs.sparkSession)
     df = docs.select(*keep, "text")
-    return df.mapInArrow(run, df.select(*keep).schema.add("score", "double"))
+    return df.mapInArrow(_run.tidy(run), df.select(*keep).schema.add("score", "double"))
 
 
 def op2_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
