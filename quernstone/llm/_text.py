@@ -11,7 +11,9 @@ import numpy as np
 import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_POW = np.ones(1, np.uint64)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_TABLES = {int(BASE): np.ones(1, np.uint64), int(INVERSE): np.ones(1, np.uint64)}
+SLAB = 1 << 17
 
 #: The six ASCII blanks: space and \t \n \v \f \r.
 SEPARATOR = np.zeros(256, bool)
@@ -20,15 +22,22 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def _table(base: np.uint64, n: int) -> np.ndarray:
+    if len(_TABLES[int(base)]) < n:
+        p = np.full(max(n, 2 * len(_TABLES[int(base)]), 1024), base, np.uint64)
+        p[0] = 1
+        _TABLES[int(base)] = np.multiply.accumulate(p)
+    return _TABLES[int(base)][:n]
+
+
 def powers(n: int) -> np.ndarray:
     """BASE**0 .. BASE**(n-1) modulo 2**64 (kept between calls)."""
-    global _POW
-    if len(_POW) < n:
-        size = max(n, 2 * len(_POW), 1024)
-        p = np.full(size, BASE, np.uint64)
-        p[0] = 1
-        _POW = np.multiply.accumulate(p)
-    return _POW[:n]
+    return _table(BASE, n)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """The same of the number that BASE times gives 1."""
+    return _table(INVERSE, n)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,17 +80,21 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of some disjoint ascending spans."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lens = ends - starts
-    total = int(lens.sum())
-    where = np.cumsum(lens) - lens
-    step = np.arange(total, dtype=np.int64) - np.repeat(where, lens)
-    codes = data[np.repeat(starts, lens) + step].astype(np.uint64)
-    codes += np.uint64(1)
-    codes *= powers(int(lens.max()))[step]
-    return mix(np.add.reduceat(codes, where) + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each of some disjoint ascending spans, from running sums over slabs of bytes."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, base + SLAB)))
+        s, e = starts[i:j] - base, ends[i:j] - base
+        codes = data[base : base + int(e[-1])].astype(np.uint64)
+        codes += np.uint64(1)
+        codes *= powers(len(codes))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes, out=sums[1:])
+        out[i:j] = (sums[e] - sums[s]) * inverse_powers(int(s[-1]) + 1)[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        i = j
+    return mix(out)
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

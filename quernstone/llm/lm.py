@@ -6,12 +6,14 @@ what the rest of the corpus has seen counts; if that is zero it backs off to
 ``ALPHA * c(v) / N``.  A text's first word scores ``c(v) / N``.  A document's
 score is the sum of the logarithms.
 
-Bigram counts are partitioned by hash into ``PASSES`` parts.  A pass explodes
-the bigrams of one part from the texts, one row for each different bigram of a
-text, counts them, joins the counts back, and sends on how often each word is
-a context or a backed-off word; those rows meet the word counts, and the
-logarithms are summed by document.  Passes bound the disk that shuffles take
-at any time.  Words and bigrams are told apart by 64-bit hashes.
+Every word but a text's first is scored as if it backed off, from the words
+of each text joined to the word counts; where the bigram has been seen in
+another text, the difference is added.  Bigram counts are partitioned by hash
+into ``PASSES`` parts.  A pass counts the bigrams of one part, joins the word
+counts to those that several texts have, explodes the bigrams of the part from
+the texts, one row for each different bigram of a text, joins them to the
+counts, and sums the differences by document.  Passes bound the disk that
+shuffles take at any time.  Words and bigrams are told apart by 64-bit hashes.
 
 Defined results: null and empty texts score 0 with 0 words; rows of one doc_id
 are texts of one document, each with own counts of its own; a null doc_id is a
@@ -21,6 +23,8 @@ gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from quernstone.llm import _run, _text
 
 ALPHA = 0.4
-PASSES = 8
+PASSES = 4
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,43 +54,81 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_run.tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def _bigrams_of(word: np.ndarray, counts: np.ndarray, part: int, parts: int):
+    """Text, u, v and hash of each bigram of one hash part."""
+    pair = np.ones(len(word), bool)
+    pair[counts[1:-1][counts[1:-1] < len(word)]] = False
+    i = np.flatnonzero(pair[1:])  # u at i, v at i + 1
+    gram = _text.mix(word[i].view(np.uint64) * np.uint64(3) + word[i + 1].view(np.uint64))
+    mine = gram % np.uint64(parts) == np.uint64(part)
+    i, gram = i[mine], gram[mine]
+    return np.searchsorted(counts, i, "right") - 1, word[i], word[i + 1], gram
+
+
+def _runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by the keys, the first key first; where runs of equal keys start in it; and their lengths."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= np.diff(k[order]) != 0
+    at = np.flatnonzero(new)
+    return order, at, np.diff(np.append(at, len(order)))
+
+
+def bigram_counts(docs: DataFrame, part: int, parts: int) -> DataFrame:
+    """(u, v, c) for the bigrams of one hash part that several texts have; counted by batch first."""
+
+    def run(it):
+        for b in _text.batches(it, 4 << 20):
+            word, counts = _words(b.column(0))
+            doc, u, v, gram = _bigrams_of(word, counts, part, parts)
+            order, at, own = _runs_of(gram, doc)  # runs of one bigram in one text
+            gram = gram[order][at]
+            first = np.flatnonzero(np.diff(gram, prepend=gram[:1] + np.uint64(1)) != 0)
+            first_row = order[at[first]]
+            c = np.add.reduceat(own, first) if len(first) else own
+            texts = np.diff(np.append(first, len(gram)))
+            yield pa.RecordBatch.from_arrays([pa.array(u[first_row]), pa.array(v[first_row]), pa.array(c), pa.array(texts)], ["u", "v", "n", "t"])
+
+    rows = docs.select("text").mapInArrow(_run.tidy(run), "u long, v long, n long, t long")
+    return rows.groupBy("u", "v").agg(F.sum("n").alias("c"), F.sum("t").alias("texts")).where("texts > 1").drop("texts")
+
+
 def bigrams(docs: DataFrame, part: int, parts: int) -> DataFrame:
     """(doc_id, u, v, own) for each different bigram of each text in one hash part."""
 
     def run(it):
         for b in _text.batches(it, 2 << 20):
             word, counts = _words(b.column(1))
-            pair = np.ones(len(word), bool)
-            pair[counts[1:-1][counts[1:-1] < len(word)]] = False
-            i = np.flatnonzero(pair[1:])  # u at i, v at i + 1
-            u, v = word[i], word[i + 1]
-            gram = _text.mix(u.view(np.uint64) * np.uint64(3) + v.view(np.uint64))
-            mine = gram % np.uint64(parts) == np.uint64(part)
-            i, u, v, gram = i[mine], u[mine], v[mine], gram[mine]
-            doc = np.searchsorted(counts, i, "right") - 1
-            order = np.lexsort((gram, doc))
-            doc, gram = doc[order], gram[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])
-            at = np.flatnonzero(new)
-            own = np.diff(np.append(at, len(doc))).astype(np.int32)
-            ids = b.column(0).take(pa.array(doc[at]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(u[order][at]), pa.array(v[order][at]), pa.array(own)], ["doc_id", "u", "v", "own"])
+            doc, u, v, gram = _bigrams_of(word, counts, part, parts)
+            order, at, own = _runs_of(doc, gram)
+            row = order[at]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[row])), pa.array(u[row]), pa.array(v[row]), pa.array(own.astype(np.int32))], ["doc_id", "u", "v", "own"])
 
     return docs.select("doc_id", "text").mapInArrow(_run.tidy(run), "doc_id long, u long, v long, own int")
 
 
-def first_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word): each text's number of words and its first one."""
+def text_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, word, own) for each different word of each text; a text without words has one row, its word null and own 0."""
 
     def run(it):
-        for b in _text.batches(it, 4 << 20):
+        for b in _text.batches(it, 2 << 20):
             word, counts = _words(b.column(1))
-            n = np.diff(counts)
-            first = pa.array(np.append(word, 0)[counts[:-1]], mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), first], ["doc_id", "n_words", "word"])
+            doc = np.repeat(np.arange(b.num_rows), np.diff(counts))
+            order, at, own = _runs_of(doc, word)
+            none = np.flatnonzero(np.diff(counts) == 0)
+            ids = b.column(0).take(pa.array(np.concatenate((doc[order][at], none))))
+            words = pa.concat_arrays([pa.array(word[order][at]), pa.nulls(len(none), pa.int64())])
+            yield pa.RecordBatch.from_arrays([ids, words, pa.array(np.concatenate((own, np.zeros(len(none), np.int64))).astype(np.int32))], ["doc_id", "word", "own"])
+
+    return docs.select("doc_id", "text").mapInArrow(_run.tidy(run), "doc_id long, word long, own int")
+
 
-    return docs.select("doc_id", "text").mapInArrow(_run.tidy(run), "doc_id long, n_words long, word long")
+def text_starts(docs: DataFrame) -> DataFrame:
+    """(doc_id, texts): how many texts with words, whose first one never backs off."""
+    word = F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
+    return docs.groupBy("doc_id").agg(F.count_if(word).alias("texts"))
 
 
 def score(docs: DataFrame, alpha: float = ALPHA, passes: int = PASSES) -> DataFrame:
@@ -95,24 +137,19 @@ def score(docs: DataFrame, alpha: float = ALPHA, passes: int = PASSES) -> DataFr
     _run.small_batches(spark, 500)
     words = _run.cut(word_counts(docs), "words")
     total = words.agg(F.sum("c")).first()[0] or 1
-    sums = _run.cut(first_words(docs), "firsts")
-    parts = [sums.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.lit(0.0).alias("s"))]
-    start = sums.where("word is not null").join(words, "word")
-    parts.append(start.groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_words"), F.sum(F.log(F.col("c") / total)).alias("s")))
+    none = F.lit(0).cast("long")
+    log = words.select("word", F.log(F.col("c").cast("double")).alias("l"))
+    each = text_words(docs).join(log, "word", "left")
+    backed_off = F.coalesce(F.col("own") * (F.col("l") + math.log(alpha / total)), F.lit(0.0))
+    parts = [_run.cut(each.groupBy("doc_id").agg(F.sum("own").alias("n_words"), F.sum(backed_off).alias("s")), "scores")]
+    parts.append(text_starts(docs).select("doc_id", none.alias("n_words"), (F.col("texts") * -math.log(alpha)).alias("s")))
     for p in range(passes):
-        rows = bigrams(docs, p, passes)
-        counts = rows.groupBy("u", "v").agg(F.sum("own").alias("c"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
-        counts = _run.cut(counts, "bigrams")  # as a table, so that a join on a hot bigram can be split
-        seen = rows.join(counts, ["u", "v"], "left").withColumn("rest", F.coalesce("c", "own") - F.col("own"))
-        hit = F.col("rest") > 0
-        asked = seen.select(
-            "doc_id",
-            F.when(hit, F.col("u")).otherwise(F.col("v")).alias("word"),
-            F.when(hit, -F.col("own")).otherwise(F.col("own")).alias("w"),
-            (F.col("own") * F.when(hit, F.log(F.col("rest").cast("double"))).otherwise(F.log(F.lit(alpha / total)))).alias("known"),
-        )
-        found = asked.join(words, "word").groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_words"), F.sum(F.col("known") + F.col("w") * F.log(F.col("c").cast("double"))).alias("s"))
-        parts.append(_run.cut(found, "scores"))
+        counts = bigram_counts(docs, p, passes)
+        counts = counts.join(log.toDF("u", "lu"), "u").join(log.toDF("v", "lv"), "v")
+        counts = _run.cut(counts.select("u", "v", "c", (-F.col("lu") - F.col("lv") - math.log(alpha / total)).alias("gain")), "bigrams")  # as a table, so that a join on a hot bigram can be split
+        hits = bigrams(docs, p, passes).join(counts, ["u", "v"]).where("c > own")
+        gain = F.col("own") * (F.log((F.col("c") - F.col("own")).cast("double")) + F.col("gain"))
+        parts.append(_run.cut(hits.groupBy("doc_id").agg(none.alias("n_words"), F.sum(gain).alias("s")), "scores"))
         _run.drop_cut(spark, counts)
     out = parts[0]
     for x in parts[1:]:

@@ -38,20 +38,6 @@ SLAB = 1 << 19
 #: Positions that one suffix sort takes; the strings of a group beyond it are counted across tasks.
 SORTED = 1 << 20
 
-_BASE = int(_text.BASE)
-_INV = np.uint64(pow(_BASE, -1, 1 << 64))
-_INVPOW = np.ones(1, np.uint64)
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    global _INVPOW
-    if len(_INVPOW) < n:
-        p = np.full(max(n, 2 * len(_INVPOW)), _INV, np.uint64)
-        p[0] = 1
-        _INVPOW = np.multiply.accumulate(p)
-    return _INVPOW[:n]
-
-
 def _sums(data: np.ndarray) -> np.ndarray:
     """Running sums from which the hash of any stretch follows."""
     q = np.zeros(len(data) + 1, np.uint64)
@@ -85,7 +71,7 @@ def segments(data: np.ndarray, off: np.ndarray, width: int, gram: int = GRAM):
         text = data[at : stop + width - 1 + w]
         n = stop - at
         q = _sums(text)
-        g = (q[gram : n + w - 1 + gram] - q[: n + w - 1]) * _inverse_powers(n + w - 1)
+        g = (q[gram : n + w - 1 + gram] - q[: n + w - 1]) * _text.inverse_powers(n + w - 1)
         g = _text.mix(g)
         key = g & ~mask | (mask - np.arange(len(g), dtype=np.uint64))
         d0, d1 = np.searchsorted(off, [at, stop - 1], "right") - 1
@@ -104,7 +90,7 @@ def segments(data: np.ndarray, off: np.ndarray, width: int, gram: int = GRAM):
         i = np.flatnonzero(cut)
         runs = np.diff(np.append(i, len(s)))
         s0 = s[i]
-        own = (q[s0 + runs - 1 + width] - q[s0]) * _inverse_powers(n)[s0]
+        own = (q[s0 + runs - 1 + width] - q[s0]) * _text.inverse_powers(n)[s0]
         own = _text.mix(own ^ runs.astype(np.uint64))
         parts.append((doc[i], s0 + at - off[doc[i]], runs, g[p[i]], own))
     if not parts:
@@ -179,7 +165,7 @@ def _sort_groups(gram: np.ndarray, texts: list[bytes], starts: np.ndarray, weigh
 def _string_hashes(text: bytes, starts: int, width: int) -> np.ndarray:
     """A hash of the string at each start of one segment."""
     q = _sums(np.frombuffer(text, np.uint8))
-    return _text.mix((q[width : width + starts] - q[:starts]) * _inverse_powers(starts))
+    return _text.mix((q[width : width + starts] - q[:starts]) * _text.inverse_powers(starts))
 
 
 def _ranges(flags: np.ndarray) -> bytes:
