@@ -76,10 +76,20 @@ def release() -> None:
         trim(0)
 
 
-def tidy(run: Callable) -> Callable:
-    """``run`` for mapInArrow, with memory given back at a task's end."""
+#: Functions that make a worker forget what an operator keeps between its tasks.
+FORGET: list[Callable[[], None]] = []
+
+
+def tidy(run: Callable, remember: bool = False) -> Callable:
+    """``run`` for mapInArrow, with memory given back at a task's end.
+
+    Unless it says so, it also forgets what tasks of other operators have kept.
+    """
 
     def tidied(batches):
+        if not remember:
+            for forget in FORGET:
+                forget()
         try:
             yield from run(batches)
         finally:

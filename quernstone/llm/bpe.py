@@ -15,6 +15,7 @@ ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quernstone.llm import _run, _text
 
 #: Chunks whose ids a worker remembers; when full, it keeps them until as many new ones have come.
-REMEMBERED = 120_000
+REMEMBERED = 400_000
 #: Blanks (and the character that marks cuts) besides space and line feed.
 _OTHER_BLANKS = re.compile(r"[\x00\x0b-\x0d\x09\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]").search
 
@@ -193,7 +194,19 @@ class BytePairCoder:
     def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:
         """Ids of each text, special tokens unknown."""
         cut = [self.chunks(t) for t in texts]
-        wanted = set().union(*cut)
+        collecting = gc.isenabled()
+        gc.disable()  # millions of tuples and no cycles
+        try:
+            known = self._learn(set().union(*cut))
+        finally:
+            if collecting:
+                gc.enable()
+        get = known.__getitem__
+        for chunks in cut:
+            yield list(chain.from_iterable(map(get, chunks)))
+
+    def _learn(self, wanted: set[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of at least these chunks."""
         if len(self.known) > REMEMBERED:
             self.known, self.earlier = {}, self.known
         known, earlier = self.known, self.earlier
@@ -203,9 +216,7 @@ class BytePairCoder:
         pieces = list(set(chain.from_iterable(split)))
         ids = dict(zip(pieces, self.merge([p.encode() for p in pieces])))
         known.update((c, ids[s[0]] if len(s) == 1 else tuple(chain.from_iterable(ids[p] for p in s))) for c, s in zip(fresh, split))
-        get = known.__getitem__
-        for chunks in cut:
-            yield list(chain.from_iterable(map(get, chunks)))
+        return known
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -217,6 +228,7 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 
 
 _CODERS: dict[tuple[int, str], BytePairCoder] = {}
+_run.FORGET.append(_CODERS.clear)
 
 
 def coder_of(data: bytes, pattern: str) -> BytePairCoder:
@@ -249,7 +261,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
     _run.small_batches(docs.sparkSession)
     df = docs.selectExpr(f"`{id_col}`", f"`{text_col}` as text")
-    return df.mapInArrow(_run.tidy(run), f"`{id_col}` {df.schema[0].dataType.simpleString()}, ids array<int>")
+    return df.mapInArrow(_run.tidy(run, remember=True), f"`{id_col}` {df.schema[0].dataType.simpleString()}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -263,7 +275,7 @@ def decode(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", i
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], [id_col, "data"])
 
     df = tokens.selectExpr(f"`{id_col}`", f"`{ids_col}` as ids")
-    return df.mapInArrow(_run.tidy(run), f"`{id_col}` {df.schema[0].dataType.simpleString()}, data binary")
+    return df.mapInArrow(_run.tidy(run, remember=True), f"`{id_col}` {df.schema[0].dataType.simpleString()}, data binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -281,7 +293,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(back_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     _run.small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_run.tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(_run.tidy(run, remember=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
