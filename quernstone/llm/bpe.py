@@ -112,6 +112,7 @@ class BytePairCoder:
             if (left := piece[:k]) in ranks and (right := piece[k:]) in ranks
         }
         self.queue = RankQueue(len(self.token))
+        self.remembered = REMEMBERED
         self.known: dict[str, tuple[int, ...]] = {}
         self.earlier: dict[str, tuple[int, ...]] = {}
 
@@ -207,7 +208,7 @@ class BytePairCoder:
 
     def _learn(self, wanted: set[str]) -> dict[str, tuple[int, ...]]:
         """The ids of at least these chunks."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.earlier = {}, self.known
         known, earlier = self.known, self.earlier
         known.update((c, earlier[c]) for c in wanted if c in earlier)
@@ -278,13 +279,17 @@ def decode(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", i
     return df.mapInArrow(_run.tidy(run, remember=True), f"`{id_col}` {df.schema[0].dataType.simpleString()}, data binary")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Encode and decode every text: token count and digests of ids and of decoded bytes."""
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
+    """Encode and decode every text: token count and digests of ids and of decoded bytes.
+
+    ``remembered`` trades a worker's memory, about 500 bytes for each, for time.
+    """
     data, pattern = _vocabulary(docs.sparkSession, path, pattern)
 
     def run(it):
         coder = coder_of(data.value, pattern)
-        for b in _text.batches(it, 1 << 20):
+        coder.remembered = remembered
+        for b in _text.batches(it, 1 << 18):
             n, ids_hex, back_hex = [], [], []
             for ids in coder.encode(t or "" for t in b.column(1).to_pylist()):
                 n.append(len(ids))
