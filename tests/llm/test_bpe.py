@@ -1,5 +1,7 @@
 import hashlib
 import random
+import subprocess
+import sys
 
 import public_tokenizers
 import pytest
@@ -26,7 +28,7 @@ def test_same_ids_as_the_library(both):
     texts = ["".join(r.choices(PIECES, k=r.randint(0, 16))) for _ in range(8000)]
     for i in range(0, len(texts), 97):
         for text, ids in zip(texts[i : i + 97], coder.encode(texts[i : i + 97])):
-            assert ids == library.encode_ordinary(text), text
+            assert ids.tolist() == library.encode_ordinary(text), text
             assert coder.decode(ids) == text.encode()
 
 
@@ -36,7 +38,43 @@ def test_very_long_pieces(both, text):
     (ids,) = coder.encode([text])
     assert coder.decode(ids) == text.encode()
     if len(text) <= 20_000:  # the library is quadratic in a piece's length
-        assert ids == library.encode_ordinary(text)
+        assert ids.tolist() == library.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("wide", [1, 2, 10**9])
+def test_buckets_at_once_and_one_by_one(both, wide, monkeypatch):
+    coder, library = both
+    monkeypatch.setattr(bpe, "WIDE", wide)
+    r = random.Random(wide)
+    pieces = ["".join(r.choices(r.choice(["ab", "aeiounrst", "0123456789", "éü日本語a", "the in on er "]), k=r.choice([2, 3, 30, 400]))) for _ in range(1500)]
+    got = coder.merge([p.encode() for p in pieces])
+    singly = [" ".join(map(str, library._encode_single_piece(p.encode()))) for p in pieces]
+    assert got == singly
+
+
+def test_every_code_point(both):
+    coder, library = both
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["x".join(points[i : i + 512]) for i in range(0, len(points), 512)] + [" ".join(points[i : i + 512]) for i in range(0, len(points), 512)]
+    for i in range(0, len(texts), 64):
+        for text, ids in zip(texts[i : i + 64], coder.encode(texts[i : i + 64])):
+            assert ids.tolist() == library.encode_ordinary(text), hex(ord(text[0]))
+
+
+@pytest.mark.parametrize("text", ["'a' * 20_000_000", "'some words and others, ' * 900_000", "'tabs\\t\\tof words  ' * 1_200_000"])
+def test_texts_of_20_mb_in_bounded_memory(text):
+    program = f'''
+import resource, public_tokenizers
+from quernstone.llm import bpe
+coder = bpe.BytePairCoder(bpe.load_ranks(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()), public_tokenizers.PATTERN)
+text = {text}
+((n, _, back),) = bpe.digests(coder, [text])
+import hashlib
+assert back == hashlib.sha256(text.encode()).hexdigest() and n
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+'''
+    most = int(subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, check=True).stdout)
+    assert most < (1300 if text.startswith("'a'") else 600)  # one piece of 20 MB, or a text of many
 
 
 def test_queue_gives_lowest_rank_first():
@@ -46,7 +84,8 @@ def test_queue_gives_lowest_rank_first():
         q.push(rank, i)
     out = []
     while (rank := q.first()) >= 0:
-        out += [(rank, i) for i in q.take(rank)]
+        out += [(rank, i) for i in sorted(q.buckets[rank])]
+        q.drop(rank)
     assert out == sorted(held)
 
 
