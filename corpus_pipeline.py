@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each taken document."""
-    return bpe.round_trip(docs, remembered=100_000)  # executors still hold what the other stages have left
+    return bpe.round_trip(docs, remembered=24 << 20)  # executors still hold what the other stages have left
 
 
 STAGES = [
