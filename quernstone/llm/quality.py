@@ -8,13 +8,15 @@ the mean of the marginals, weighted by line length, is calibrated to the
 document's score.
 
 Labels are of documents, so a training line carries its document's label.  The
-field is fitted on a bounded sample: the ``SAMPLE`` labelled documents of least
-hash, of each the first ``SAMPLE_LINES`` lines.  Scoring sees every line of
-every text, and nothing but the text.
+field is fitted on a bounded sample: whole labelled documents in the order of a
+hash, up to ``SAMPLE`` of them and ``SAMPLE_BYTES`` together.  All their lines
+teach; for fitting, chains are cut every ``CHAIN`` lines, which costs the cut
+transitions alone.  Scoring sees every line of every text, and nothing but the
+text.
 
 Defined results: null and empty texts are one empty line and get the score of
 that; repeated rows get repeated scores; labels that are null, or of both
-kinds, or missing, teach nothing; without labels of both kinds every score is
+kinds, or missing, teach nothing; of rows that share an id the least text teaches; without labels of both kinds every score is
 the share of label 1 (0.5 without any); further columns are ignored; an empty
 table gives an empty table.
 """
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import _run, _text
 
-#: Labelled documents that the field is fitted on, and lines of each.
-SAMPLE, SAMPLE_LINES = 2500, 60
+#: Most labelled documents that the field is fitted on, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 2500, 8 << 20
+#: Lines of a chain in fitting; bytes that are counted at once.
+CHAIN, SLAB = 64, 1 << 20
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[*range(97, 123)]] = 1
@@ -44,6 +48,18 @@ _KIND[128:] = 9
 KINDS = 10
 
 
+def _kinds_of_lines(kind: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How many bytes of each kind each line has, slab by slab."""
+    count = np.zeros((len(start), KINDS))
+    for at in range(0, len(kind), SLAB):
+        part = kind[at : at + SLAB]
+        i, j = np.searchsorted(start, [at, at + len(part) - 1], "right") - 1
+        edge = np.clip(np.append(start[i : j + 1], at + len(part)) - at, 0, len(part))
+        line = np.repeat(np.arange(j + 1 - i), np.diff(edge))
+        count[i : j + 1] += np.bincount(line * KINDS + part, minlength=(j + 1 - i) * KINDS).reshape(-1, KINDS)
+    return count
+
+
 def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of each line, byte lengths of the lines, and lines before each document."""
     data, off = _text.flat(column)
@@ -56,11 +72,8 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     end[:-1] = start[1:] - 1
     end[before[1:] - 1] = off[1:]
     length = np.maximum(end - start, 0)
-    sums = np.zeros((len(data) + 1, KINDS), np.int32)
     kind = _KIND[data]
-    for k in range(1, KINDS):
-        np.cumsum(kind == k, out=sums[1:, k])
-    count = (sums[end] - sums[start]).astype(float)
+    count = _kinds_of_lines(kind, start)
     s, e, words = _text.word_spans(data, off)
     w0, w1 = np.searchsorted(s, start), np.searchsorted(s, end)
     h = _text.span_hashes(data, s, e)
@@ -185,15 +198,16 @@ def fit(features: np.ndarray, length: np.ndarray, before: np.ndarray, label: np.
     line = np.repeat(label, np.diff(before)).astype(float)
     share = np.repeat(1 / np.maximum(np.diff(before), 1), np.diff(before))  # a long document counts no more than a short one
     weight = np.where(line > 0, 0.5 / max(label.mean(), 1e-9), 0.5 / max(1 - label.mean(), 1e-9)) ** 0.5 * share
+    chains = np.unique(np.concatenate([np.append(np.arange(a, z, CHAIN), z) for a, z in zip(before[:-1].tolist(), before[1:].tolist())]))
     w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     inner = np.ones(len(line), bool)
-    inner[before[:-1]] = False
+    inner[chains[:-1]] = False
     j = np.flatnonzero(inner)
     seen = np.array([[((line[j - 1] == a) & (line[j] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
     total = weight.sum()
     for step in range(1, rounds + 1):
-        good, pair, _ = marginals(x @ w, trans, before)
+        good, pair, _ = marginals(x @ w, trans, chains)
         grad = np.concatenate((x.T @ (weight * (line - good)) / total - 1e-4 * w, ((seen - pair) / max(len(line), 1)).ravel() - 1e-2 * trans.ravel()))
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad**2
@@ -219,33 +233,34 @@ def held_out(fold: int, left_out: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold)) == left_out, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, left_out: int, rows: int) -> DataFrame:
-    """(text, label) of the ``rows`` labelled documents of least hash outside the held-out fold."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, left_out: int, rows: int, most_bytes: int) -> DataFrame:
+    """(doc_id, text, label) of labelled documents outside the held-out fold: whole texts in the order of a hash.
+
+    At most ``rows`` documents are looked at; those are taken that fit into what
+    is left of ``most_bytes``.  One row for each id, that of the least text.
+    """
+    spark = docs.sparkSession
     known = labels.where(f"doc_id is not null and `{label}` in (0, 1)").groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other")
-    known = known.where(~held_out(fold, left_out)).select("doc_id", "label")
+    known = known.where(~held_out(fold, left_out)).select("doc_id", F.col("label").cast("int").alias("label"))
     least = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(least), "doc_id").select("doc_id", "text", "label")
-
-
-def train(docs: DataFrame, labels: DataFrame, fold: int = 3, left_out: int = 1, sample: int = SAMPLE) -> LineField:
+    found = docs.select("doc_id", "text").join(F.broadcast(least), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    found = _run.cut(found.select("doc_id", "text", "label"), "labelled")
+    sizes = found.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect()  # at most ``rows`` numbers
+    taken, left = [], most_bytes
+    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+        if r.n <= left:
+            taken.append((r.doc_id,))
+            left -= r.n
+    return found.join(F.broadcast(_run.local_rows(spark, taken, "doc_id long")), "doc_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, fold: int = 3, left_out: int = 1, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> LineField:
     """Fit the field on a bounded sample of labelled rows outside the held-out fold."""
-
-    def run(it):
-        for b in _text.batches(it, 1 << 20):
-            x, length, before = line_features(b.column(1))
-            for i in range(b.num_rows):
-                s = slice(before[i], min(before[i + 1], before[i] + SAMPLE_LINES))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(2).slice(i, 1), pa.array([x[s].astype(np.float32).tobytes()], pa.binary()), pa.array([length[s].astype(np.int32).tobytes()], pa.binary())], ["doc_id", "label", "x", "length"])
-
-    _run.small_batches(docs.sparkSession)
-    rows = labelled_sample(docs, labels, "quality", fold, left_out, sample).selectExpr("doc_id", "text", "cast(label as int) label")
-    got = sorted({(r.doc_id, bytes(r.x)): r for r in rows.mapInArrow(_run.tidy(run), "doc_id long, label int, x binary, length binary").collect()}.items())
-    got = [r for _, r in got]
-    length = [np.frombuffer(r.length, np.int32) for r in got]
-    before = np.concatenate(([0], np.cumsum([len(x) for x in length]))).astype(np.int64)
-    width = line_features(pa.array(["a"]))[0].shape[1]
-    x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, width) for r in got]).astype(float) if got else np.zeros((0, width))
-    return fit(x, np.concatenate(length).astype(float) if got else np.zeros(0), before, np.array([r.label for r in got], float))
+    with _run.tables() as made:
+        got = sorted((r.doc_id, r.text, r.label) for r in labelled_sample(docs, labels, "quality", fold, left_out, sample, most_bytes).collect())
+    _run.drop_cut(docs.sparkSession, *made)
+    x, length, before = line_features(pa.array([r[1] for r in got], pa.string()))
+    return fit(x, length.astype(float), before, np.array([r[2] for r in got], float))
 
 
 def score(docs: DataFrame, field: LineField, keep: list[str]) -> DataFrame:

@@ -3,15 +3,17 @@
 Features of a text: densities of an abuse lexicon and of words that share a
 stem with it, how near lexicon words stand to second-person words, rates of
 capitals, of punctuation and of obfuscated words (digits or signs inside a
-word), elongated letters and length.
+word), length, and, in texts that have lexicon words, elongated letters.
 
 The lexicon is a short built-in list and what the labelled sample teaches:
 words, and four-letter word beginnings, much more frequent in toxic documents
 than in others.  A spelling with signs in place of letters counts after they
 have been put back.
 
-The model is fitted on a bounded sample: the ``SAMPLE`` labelled documents of
-least hash outside the held-out fold.  Scoring sees the whole of every text,
+The model is fitted on a bounded sample: whole labelled documents outside the
+held-out fold in the order of a hash, up to ``SAMPLE`` of them and
+``SAMPLE_BYTES`` together; of rows that share an id the least text teaches.
+Scoring sees the whole of every text,
 and nothing but the text.
 
 Defined results: null and empty texts have zero features and get the score of
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 from quernstone.llm import _run, _text
 from quernstone.llm.quality import held_out, labelled_sample
 
-#: Labelled documents that the model is fitted on.
-SAMPLE = 4000
+#: Most labelled documents that the model is fitted on, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 4000, 16 << 20
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 
 LEXICON = frozenset("idiot idiots moron morons stupid dumb loser losers pathetic scum worthless trash disgusting clown fool ugly garbage vermin idiota imbécil estúpido basura dummkopf abschaum blödmann trottel connard crétin imbécile ordure".split())
@@ -109,8 +111,10 @@ class Lexicon:
         near = 0.0
         if hits and you:
             at = np.array(you)
-            for i, w in hits:
-                near += w / (1 + int(np.abs(at - i).min()))
+            where, weights = np.array(hits).T
+            after = np.searchsorted(at, where)
+            gap = np.minimum(np.abs(at[np.minimum(after, len(at) - 1)] - where), np.abs(at[np.maximum(after - 1, 0)] - where))
+            near = float((weights / (1 + gap)).sum())
         capitals = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
         size = len(text)
         marks = sum(map(text.count, "!?"))
@@ -233,10 +237,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return Model(lexicon, Trees().fit(x, y), isotonic(out, y), 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 4, left_out: int = 2, sample: int = SAMPLE) -> Model:
-    """Fit on a bounded sample of labelled rows; of each text at most 20,000 characters teach."""
-    rows = labelled_sample(docs, labels, "toxic", fold, left_out, sample).selectExpr("doc_id", "left(coalesce(text, ''), 20000) text", "cast(label as int) label")
-    got = sorted({(r.doc_id, r.text, r.label) for r in rows.collect()})
+def train(docs: DataFrame, labels: DataFrame, fold: int = 4, left_out: int = 2, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on a bounded sample of whole labelled rows."""
+    with _run.tables() as made:
+        got = sorted((r.doc_id, r.text, r.label) for r in labelled_sample(docs, labels, "toxic", fold, left_out, sample, most_bytes).collect())
+    _run.drop_cut(docs.sparkSession, *made)
     return fit([r[1] for r in got], [r[2] for r in got])
 
 
