@@ -14,9 +14,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and there is one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="quernstone-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -34,7 +36,25 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    for made in _MADE:
+        made.append(table)
+    return table
+
+
+#: Lists that tables written by :func:`cut` go on, while they are wanted.
+_MADE: list[list[DataFrame]] = []
+
+
+@contextmanager
+def tables():
+    """A list of the tables that are written in a block, so that they can be dropped after their last reader."""
+    made: list[DataFrame] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE[:] = [x for x in _MADE if x is not made]
 
 
 def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

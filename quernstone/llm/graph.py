@@ -71,6 +71,7 @@ def components(links: DataFrame) -> DataFrame:
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         hooks = e.join(low, "u").where("v != m").selectExpr("greatest(v, m) u", "least(v, m) v", "true live")
         jump = low.join(low.selectExpr("u m", "m m2"), "m", "left").selectExpr("u", "coalesce(m2, m) v", "m2 is not null live")
-        e = _run.cut(hooks.distinct().unionByName(jump), "links")
+        before, e = e, _run.cut(hooks.distinct().unionByName(jump), "links")
+        _run.drop_cut(links.sparkSession, before)
     low = e.groupBy("u").agg(F.min("v").alias("root"))
     return low.selectExpr("u node", "root").unionByName(low.select(F.col("root").alias("node"), "root").distinct())

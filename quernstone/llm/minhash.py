@@ -207,10 +207,12 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     Of rows that repeat a kept doc_id one stays.  Rows without an id stay.
     """
-    near = near_duplicates(docs.select("doc_id", "text"), words, percent)
+    with _run.tables() as made:
+        near = near_duplicates(docs.select("doc_id", "text"), words, percent)
     marks = near.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
     marks = _run.cut(marks.where("not kept or n > 1"), "marks")
-    out = docs.join(marks.select("doc_id"), "doc_id", "left_anti")
+    _run.drop_cut(docs.sparkSession, *made)
+    out = docs.join(marks.select("doc_id").hint("merge"), "doc_id", "left_anti")
     again = marks.where("kept").select("doc_id")
     if again.limit(1).count():
         out = out.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

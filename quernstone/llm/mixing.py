@@ -133,8 +133,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id are each taken as often as the one with the most copies.
     """
-    taken = mix(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    with _run.tables() as made:
+        copies = mix(docs)
+    taken = copies.groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    taken = _run.cut(taken, "taken")
+    _run.drop_cut(docs.sparkSession, *made)
+    out = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("taken_id")))
     return out.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
 
 

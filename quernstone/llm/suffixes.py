@@ -4,7 +4,7 @@ A byte goes if a string of ``width`` bytes covers it that starts at another
 place too, in the same document or another.
 
 Not every suffix has to be sorted.  Each start picks an anchor: the least
-hash among the ``GRAM``-byte grams inside its string, the rightmost on ties.
+hash among the grams, two fifths of a string long, inside its string, the rightmost on ties.
 Equal strings pick equal grams at equal offsets, so strings can only be equal
 within the group of one gram.  Neighbouring starts with one anchor form a
 segment.  Groups of one gram that occurs once have no repeats; groups whose
@@ -33,11 +33,15 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import _run, _text
 
-GRAM = 160
-SLAB = 1 << 19
+SLAB = 1 << 17
 #: Positions that one suffix sort takes; the strings of a group beyond it are counted across tasks.
 SORTED = 1 << 20
 
+
+def gram_size(width: int) -> int:
+    return max(1, width * 2 // 5)
+
+
 def _sums(data: np.ndarray) -> np.ndarray:
     """Running sums from which the hash of any stretch follows."""
     q = np.zeros(len(data) + 1, np.uint64)
@@ -60,8 +64,9 @@ def _window_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(tail[: n - w + 1], head[w - 1 : n])
 
 
-def segments(data: np.ndarray, off: np.ndarray, width: int, gram: int = GRAM):
+def segments(data: np.ndarray, off: np.ndarray, width: int, gram: int | None = None):
     """Segments of a batch of texts: document, start, starts, gram hash, own hash."""
+    gram = gram or gram_size(width)
     w = width - gram + 1
     mask = np.uint64((1 << 21) - 1)
     parts = []
@@ -221,7 +226,7 @@ def _repeats_in_wide_groups(segments: DataFrame, width: int) -> DataFrame:
 
     rows = segments.select("gram", "own", "n", "starts", "segment").mapInArrow(_run.tidy(strings), "gram long, own long, n long, i int, h long")
     again = _run.cut(rows.groupBy("gram", "h").agg(F.sum("n").alias("c")).where("c > 1").select("gram", "h"), "again")  # as a table, so that a join on a hot string can be split
-    hit = rows.join(again, ["gram", "h"]).groupBy("gram", "own").agg(F.collect_list("i").alias("at"))
+    hit = rows.join(again.hint("merge"), ["gram", "h"]).groupBy("gram", "own").agg(F.collect_list("i").alias("at"))
     return hit.mapInArrow(_run.tidy(joined), "gram long, own long, ranges binary")
 
 
@@ -248,12 +253,12 @@ def repeated_ranges(docs: DataFrame, width: int = 400) -> tuple[DataFrame, DataF
     rows = scanned.select("doc_id", "key")
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("from")).where("copies > 1")
     copies = _run.cut(copies, "copies")  # as a table, so that a join on a hot text can be split
-    each = scanned.where("size(gram) > 0").join(copies.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left")
+    each = scanned.where("size(gram) > 0").join(copies.withColumnRenamed("key", "k").hint("merge"), F.col("key") == F.col("k"), "left")
     each = each.where("copies is null or doc_id <=> `from`")
     seg = each.select("key", "doc_id", F.explode(F.arrays_zip("s0", "starts", "gram", "own")).alias("x")).select("key", "doc_id", "x.*")
     grams = seg.groupBy("gram").agg(F.count("*").alias("c"), F.min("own").alias("low"), F.max("own").alias("high")).where("c > 1")
     grams = _run.cut(grams.select("gram", F.expr("low != high").alias("mixed")), "grams")  # as a table, so that a join on a hot gram can be split
-    seg = _run.cut(seg.join(grams, "gram"), "met")
+    seg = _run.cut(seg.join(grams.hint("merge"), "gram"), "met")
     mixed = seg.where("mixed").groupBy("gram", "own").agg(F.count("*").alias("n"), F.min(F.struct("key", "s0", "doc_id", "starts")).alias("x"))
     mixed = _run.cut(mixed.select("gram", "own", F.least("n", F.lit(2)).alias("n"), "x.*"), "different")
 
@@ -266,10 +271,10 @@ def repeated_ranges(docs: DataFrame, width: int = 400) -> tuple[DataFrame, DataF
 
     wide = mixed.groupBy("gram").agg(F.sum(F.col("starts") + width - 1).alias("size")).where(F.col("size") > SORTED).select("gram", F.lit(True).alias("wide"))
     wide = _run.cut(wide, "wide")
-    mixed = mixed.join(wide, "gram", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
+    mixed = mixed.join(wide.hint("merge"), "gram", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
     wanted = mixed.groupBy("key", "doc_id").agg(F.collect_list(F.struct("gram", "own", "n", "s0", "starts", "wide")).alias("want"))
     same = (keyed["key"] == wanted["key"]) & keyed["doc_id"].eqNullSafe(wanted["doc_id"])
-    texts = keyed.join(wanted, same).select("text", F.explode("want").alias("x")).select("text", "x.*")
+    texts = keyed.join(wanted.hint("merge"), same).select("text", F.explode("want").alias("x")).select("text", "x.*")
     texts = texts.mapInArrow(_run.tidy(cut_out), "gram long, own long, n long, starts int, wide boolean, segment binary")
     found = texts.where("not wide").repartition("gram").sortWithinPartitions("gram", "own").mapInArrow(_run.tidy(_repeats_in_groups(width)), "gram long, own long, ranges binary")
     if wide.limit(1).count():
@@ -283,7 +288,7 @@ def repeated_ranges(docs: DataFrame, width: int = 400) -> tuple[DataFrame, DataF
             r = np.concatenate(r) if len(r) else np.zeros((0, 2), np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(r[:, 0].astype(np.int32)), pa.array(r[:, 1].astype(np.int32))], ["key", "first", "past"])
 
-    some = seg.where("mixed").select("gram", "own", "key", "s0").join(found, ["gram", "own"]).where("length(ranges) > 0").select("key", "s0", "ranges")
+    some = seg.where("mixed").select("gram", "own", "key", "s0").join(found.hint("merge"), ["gram", "own"]).where("length(ranges) > 0").select("key", "s0", "ranges")
     some = some.mapInArrow(_run.tidy(place), "key long, first int, past int")
     every = seg.where("not mixed").select("key", F.col("s0").alias("first"), F.expr("s0 + starts").alias("past"))
     ranges = every.unionByName(some).groupBy("key").agg(F.collect_list("first").alias("first"), F.collect_list("past").alias("past"))
@@ -307,8 +312,11 @@ def spans_of(n_bytes: int, copied: bool, first, past, width: int) -> np.ndarray:
 
 def with_spans(docs: DataFrame, width: int, keep: list[str], finish, schema: str) -> DataFrame:
     """Apply ``finish(batch, texts, spans)`` to all rows with the spans to remove of each text."""
-    copied, ranges = repeated_ranges(docs, width)
-    marks = _run.cut(ranges.join(copied, "key", "full"), "marks")  # as a table, so that a join on a hot text can be split
+    with _run.tables() as made:
+        copied, ranges = repeated_ranges(docs, width)
+        marks = ranges.join(copied.hint("merge"), "key", "full")
+    marks = _run.cut(marks, "marks")  # as a table, so that a join on a hot text can be split
+    _run.drop_cut(docs.sparkSession, *made)
     keyed = docs.select(*keep, "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
 
     def run(it):
@@ -320,7 +328,7 @@ def with_spans(docs: DataFrame, width: int, keep: list[str], finish, schema: str
                 spans.append(spans_of(len(x), c is not None, f.values.to_numpy() if f.is_valid else None, p.values.to_numpy() if p.is_valid else None, width))
             yield finish(b, texts, spans)
 
-    marked = keyed.join(marks, "key", "left").select(*keep, "text", "first", "past", "copies")
+    marked = keyed.join(marks.hint("merge"), "key", "left").select(*keep, "text", "first", "past", "copies")
     return marked.mapInArrow(_run.tidy(run), schema)
 
 

@@ -20,10 +20,10 @@ def test_stages_pass_documents_on(spark):
     assert set(near) <= set(good) and set(cut) == set(near) and set(mixed) <= set(cut)
     left = test_minhash.brute([(d, r.text) for d, r in good.items()], 5)
     assert set(near) == {d for d, _, _, k in left if k}
-    gone = {r[0]: r[2] for r in test_suffixes.brute([(d, r.text) for d, r in near.items()], 400)}
+    gone = {r[0]: r[2] for r in test_suffixes.brute([(d, r.text) for d, r in near.items()], p.PASSAGE)}
     for d, r in cut.items():
         lost = len(near[d].text.encode()) - len(r.text.encode())
-        assert gone[d] <= lost <= gone[d] + 6 * (gone[d] // 400 + 1)
+        assert gone[d] <= lost <= gone[d] + 6 * (gone[d] // p.PASSAGE + 1)
     out = p.run(spark, TINY)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(mixed)
 
