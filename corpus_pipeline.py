@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import _run, bpe, minhash, mixing, quality, suffixes
 
+#: Bytes of a passage that may not occur twice: some 40 words, so that those of over 50 words are met.
+PASSAGE = 256
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -30,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 400 bytes or more that occur again."""
-    return suffixes.without_repeats(docs)
+    """Texts without the passages of ``PASSAGE`` bytes or more that occur again."""
+    return suffixes.without_repeats(docs, width=PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +61,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for name, stage in STAGES[:-1]:
-        docs = _run.cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        with _run.tables() as made:
+            docs = _run.cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        _run.drop_cut(spark, *before, *made[:-1])  # all but what the stage returns
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
