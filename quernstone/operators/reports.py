@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.metrics import pass_at_k, share_percent
+from quernstone.functions.metrics import pass_at_k, pass_at_ks, share_percent
 
 KS = (1, 2, 5, 10)
 
@@ -43,9 +43,11 @@ def default_criterion() -> Column:
     return F.col("all_w") & ~F.col("all_o")
 
 
-def problem_metrics(programs: DataFrame, keys: list[str], ks: tuple[int, ...] = KS, digits: int | None = 6) -> DataFrame:
+def problem_metrics(programs: DataFrame, keys: list[str], ks: tuple[int, ...] = KS, digits: int | None = 6, criterion: Column | None = None) -> DataFrame:
     """A row for each problem from rows of ``program_reports`` that carry its keys.
 
+    ``criterion`` says which programs count as solved through the update (``c_new_excl``, ``upass``).
+
     ``unsolved_pct`` counts programs that pass neither exclusively: those that
     pass both ways are unsolved too.
     """
@@ -54,18 +56,18 @@ def problem_metrics(programs: DataFrame, keys: list[str], ks: tuple[int, ...] =
         F.count(F.lit(1)).alias("n"),
         F.count_if(w).alias("c_new"),
         F.count_if(o).alias("c_old"),
-        F.count_if(w & ~o).alias("c_new_excl"),
+        F.count_if(default_criterion() if criterion is None else criterion).alias("c_new_excl"),
         F.count_if(o & ~w).alias("c_old_excl"),
         (F.avg("rate") * 100).alias("accuracy_mean"),
         (F.stddev_pop("rate") * 100).alias("accuracy_std"),
         (F.avg((F.col("num_w") == F.col("num_o")).cast("double")) * 100).alias("unaffected_pct"),
         (F.avg((F.col("num_w") != F.col("num_o")).cast("double")) * 100).alias("affected_pct"),
     )
-    n = F.col("n")
-    out = counts.withColumn("unsolved_pct", share_percent(n - F.col("c_old_excl") - F.col("c_new_excl"), n))
-    for k in ks:
-        for name, c in (("pass_{}_new", "c_new"), ("upass_{}", "c_new_excl"), ("pass_{}_old", "c_old"), ("pass_{}_old_excl", "c_old_excl")):
-            out = out.withColumn(name.format(k), pass_at_k(n, F.col(c), k) * 100)
+    out = counts.withColumn("unsolved_pct", share_percent(F.col("n") - F.col("c_old_excl") - F.col("c_new_excl"), F.col("n")))
+    names = (("pass_{}_new", "c_new"), ("upass_{}", "c_new_excl"), ("pass_{}_old", "c_old"), ("pass_{}_old_excl", "c_old_excl"))
+    for name, c in names:
+        out = out.withColumn(f"_{c}", pass_at_ks(F.col("n"), F.col(c), ks))
+    out = out.select(*counts.columns, "unsolved_pct", *[(F.col(f"_{c}")[i] * 100).alias(name.format(k)) for i, k in enumerate(ks) for name, c in names])
     if digits is not None:
         whole = {*keys, "n", "c_new", "c_old", "c_new_excl", "c_old_excl"}
         out = out.select(*[c if c in whole else F.round(c, digits).alias(c) for c in out.columns])

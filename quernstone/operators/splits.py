@@ -19,14 +19,16 @@ def circular_splits(problems: DataFrame, group: str, order: str, id_: str, n_tra
     rows = problems.select(group, order, id_, (F.row_number().over(own) - 1).alias("pos"))
     if n_train == 0:
         return rows.select(group, id_, "pos", F.array(id_).alias("train"), F.lit(True).alias("enough"))
-    whole = own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = rows.withColumn("all", F.collect_list(id_).over(whole)).withColumn("size", F.size("all"))
-    i, size = F.col("pos"), F.col("size")
-    before = F.slice("all", i - n_train + 1, F.lit(n_train))
-    wrapped = F.concat(F.slice("all", F.lit(1), i), F.slice("all", size - n_train + i + 1, n_train - i))
-    enough = size > n_train
-    train = F.when(~enough, None).when(i >= n_train, before).otherwise(wrapped)
-    return rows.select(group, id_, "pos", train.alias("train"), enough.alias("enough"))
+    # no row holds more than n_train others: those before it, and, for the first ones, the last of the group
+    before = F.array(*[F.lag(id_, k).over(own) for k in range(n_train, 0, -1)])
+    rows = rows.withColumn("before", F.filter(before, lambda x: x.isNotNull()))
+    ranked = F.struct(F.col("pos"), F.col(id_).alias("id"))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    last = rows.join(sizes, group).where(F.col("pos") >= F.col("size") - n_train).groupBy(group, "size").agg(F.transform(F.array_sort(F.collect_list(ranked)), lambda x: x["id"]).alias("last"))
+    i = F.col("pos")
+    wrapped = F.concat("before", F.slice("last", i + 1, F.greatest(n_train - i, F.lit(0))))
+    enough = F.col("size") > n_train
+    return rows.join(last, group).select(group, id_, "pos", F.when(enough, F.when(i >= n_train, F.col("before")).otherwise(wrapped)).alias("train"), enough.alias("enough"))
 
 
 def first_of_group(rows: DataFrame, group: str, order: str, id_: str) -> DataFrame:
@@ -53,7 +55,7 @@ def first_of_list(ids: DataFrame, id_: str, first: int) -> DataFrame:
 
 def random_groups(rows: DataFrame, group: str, n: int, seed: int) -> DataFrame:
     """n groups in an order that a seed fixes."""
-    return rows.select(group).distinct().orderBy(F.xxhash64(F.lit(seed), group), group).limit(n)
+    return rows.select(group).distinct().orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")).cast("binary")), group).limit(n)
 
 
 def missing_groups(sample: DataFrame, rows: DataFrame, group: str) -> DataFrame:

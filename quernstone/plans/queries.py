@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quernstone.functions import ids, templates, text
-from quernstone.operators import codecheck, execution, instructions, ledger, neardup, reports, selection, splits, taxonomy
+from quernstone.operators import instructions, ledger, neardup, reports, selection, splits, taxonomy
 from quernstone.sources.constants import constant_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -450,43 +450,3 @@ def program_assembly(spark, folder):
     """Programs with and without an update; texts stand in for solutions."""
     parts = (F.array(F.concat(F.lit("import "), "lang")), F.lit("def g(): pass"), F.lit("m.f = g"), F.col("text"), F.lit("def test_a(): pass"), F.lit("test_a"))
     return table(spark, folder, "documents").select("doc_id", text.program(*parts).alias("with_update"), F.length(text.program(*parts, with_update=False)).alias("n_without"), text.indented(F.col("text")).alias("indented"))
-
-
-CODE = [
-    ("plain", "import numpy as np\ndef f(a, b=2):\n    c = a + b\n    return np.sum(c)"),
-    ("two", "def f(): pass\ndef g(): pass"),
-    ("broken", "def f(:\n  pass"),
-    ("vacuous", "def f(x):\n    return x"),
-    ("branch", "def f(x: int) -> int:\n    if x > 0:\n        return 1\n    return 0"),
-    ("bare", "def f(x):\n    print(x)\n    return"),
-    ("calls", "def f(x):\n    return len(list(x))"),
-    ("none", "x = 1"),
-]
-
-
-def _code(spark):
-    return constant_rows(spark, CODE, "name string, code string")
-
-
-@query()
-def static_checks(spark, folder):
-    """Parsing, naming and vacuity of code samples."""
-    rows = _code(spark).select(F.col("name").alias("sample"), codecheck.checked(F.col("code")).alias("c"))
-    return rows.select("sample", "c.parse_ok", "c.name", "c.boring", "c.first_failed")
-
-
-@query()
-def anonymized(spark, folder):
-    """Code samples with names replaced by order of use."""
-    return _code(spark).select("name", codecheck.anonymized(F.col("code")).alias("code"))
-
-
-@query()
-def paired_execution(spark, folder):
-    """Small programs of ours, run with and without an update."""
-    tests = [("both", "assert abs(-1) == 1"), ("only_with", "assert m.f() == 2"), ("only_without", "assert m.f() == 1"), ("neither", "raise SystemExit('stop')")]
-    rows = constant_rows(spark, tests, "test string, body string")
-    base = "class m: pass\nm.f = lambda: 1\n"
-    with_ = F.concat(F.lit(base + "m.f = lambda: 2\n"), "body")
-    rows = rows.select("test", F.explode(F.array(F.struct(F.lit("w").alias("variant"), with_.alias("program")), F.struct(F.lit("wo").alias("variant"), F.concat(F.lit(base), "body").alias("program")))).alias("x")).select("test", "x.*")
-    return execution.paired_outcomes(execution.executed(rows, timeout=5, allow=True, tasks=2), ["test"])

@@ -217,7 +217,7 @@ def test_anonymizer(spark):
     assert codecheck.anonymize("def f(:") == "def f(:"
     assert codecheck.assertion_call("assert f(1) == 2") == "f(1)"
     assert codecheck.assertion_call("assert 1 == 2") is None
-    assert [s["text"] for s in codecheck.statements("é = 1\nif é:\n    x = 2")] == ["é = 1", "x = 2"]
+    assert [(s["kind"], s["text"]) for s in codecheck.statements("é = 1\nif é:  # why\n    x = 2")] == [("simple", "é = 1"), ("header", "if é:"), ("comment", "# why"), ("simple", "x = 2")]
 
 
 def test_execution_is_off_by_default(spark):

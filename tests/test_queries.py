@@ -4,7 +4,7 @@ import pytest
 
 from tests.conftest import TINY, same_rows
 
-from quernstone.plans.queries import QUERIES, SQL
+from quernstone.plans.more import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -21,11 +21,6 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-def test_paired_execution(spark):
-    got = {r.test: (r.w, r.o) for r in QUERIES["paired_execution"](spark, TINY).collect()}
-    assert got == {"both": (True, True), "only_with": (True, False), "only_without": (False, True), "neither": (False, False)}
-
-
 def test_entry_module_imports_and_runs(spark):
     import __spark_entry__ as entry
 
