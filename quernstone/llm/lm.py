@@ -1,24 +1,38 @@
 """Language-model scores by stupid backoff, computed with joins.
 
-The model is the corpus itself.  A word v after u scores
-``(c(uv) - own) / c(u)`` with ``own`` the document's own count of uv, so that
-what the rest of the corpus has seen counts; if that is zero it backs off to
-``ALPHA * c(v) / N``.  A text's first word scores ``c(v) / N``.  A document's
-score is the sum of the logarithms.
-
-Every word but a text's first is scored as if it backed off, from the words
-of each text joined to the word counts; where the bigram has been seen in
-another text, the difference is added.  Bigram counts are partitioned by hash
-into ``PASSES`` parts.  A pass counts the bigrams of one part, joins the word
-counts to those that several texts have, explodes the bigrams of the part from
-the texts, one row for each different bigram of a text, joins them to the
-counts, and sums the differences by document.  Passes bound the disk that
-shuffles take at any time.  Words and bigrams are told apart by 64-bit hashes.
-
-Defined results: null and empty texts score 0 with 0 words; rows of one doc_id
-are texts of one document, each with own counts of its own; a null doc_id is a
-document too; ties don't arise; further columns are ignored; an empty table
-gives an empty table.
+The model is the corpus itself, and for each document the rest of it: with
+``n(g)`` the count of an n-gram in all texts less that in the document, a word
+w after a history h scores ``n(hw) / n(h)`` at the longest history, of up to
+``order - 1`` words, with which it has been seen elsewhere, times ``ALPHA`` for
+every word that the history was cut by.  Without any history it scores
+``c(w) / N``, the document's own words counted too, so that no word scores
+zero.  A document's score is the sum of the logarithms.
+
+A word seen at one order is seen at all lower ones, so the score is a sum over
+orders: what every word scores alone, and for each order k the difference
+
+    log n(hw) - log n(h) - log ALPHA - (score of w one order lower)
+
+of the n-grams seen elsewhere, which four counts make: those of the n-gram, of
+all but its last word, all but its first, and all but both.  Each order is one
+join of n-grams exploded from the texts to their count table:
+
+1. n-grams are counted by batch, dealt out by hash into parts, and summed; of
+   orders above one only those that several texts have are kept.  Three joins
+   to the lower orders' tables add the other counts.
+2. The n-grams of each text are exploded, one row for each different one, and
+   joined to the counts by part; the differences are summed by document.
+   The ``HEAD`` most common n-grams, a bounded table, are looked up before the
+   shuffle, so no part holds the rows of a very common one.
+
+Rows of one batch and part travel together as arrays in one binary value.
+Orders above one are done in ``PASSES`` parts of the hash range, which bounds
+the disk that shuffles take.  N-grams are told apart by 64-bit hashes.
+
+Defined results: null and empty texts score 0 with 0 words, and their mean is
+0; rows of one doc_id are texts of one document, each with own counts of its
+own; a null doc_id is a document too; ties don't arise; further columns are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,36 +47,42 @@ from pyspark.sql import functions as F
 from quernstone.llm import _run, _text
 
 ALPHA = 0.4
-PASSES = 4
-
-
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data, off = _text.flat(column)
-    data = _text.LOWER[data]
-    s, e, counts = _text.word_spans(data, off)
-    return _text.span_hashes(data, s, e).view(np.int64), counts
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, c)``: hashed words of all texts and their counts."""
-
-    def run(it):
-        for b in _text.batches(it, 4 << 20):
-            word, n = np.unique(_words(b.column(0))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
-
-    return docs.select("text").mapInArrow(_run.tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
-
-
-def _bigrams_of(word: np.ndarray, counts: np.ndarray, part: int, parts: int):
-    """Text, u, v and hash of each bigram of one hash part."""
-    pair = np.ones(len(word), bool)
-    pair[counts[1:-1][counts[1:-1] < len(word)]] = False
-    i = np.flatnonzero(pair[1:])  # u at i, v at i + 1
-    gram = _text.mix(word[i].view(np.uint64) * np.uint64(3) + word[i + 1].view(np.uint64))
-    mine = gram % np.uint64(parts) == np.uint64(part)
-    i, gram = i[mine], gram[mine]
-    return np.searchsorted(counts, i, "right") - 1, word[i], word[i + 1], gram
+ORDER = 2
+PASSES = 2
+#: N-grams of an order that are looked up before the shuffle.
+HEAD = 100_000
+_THREE = np.uint64(3)
+
+
+class Batch:
+    """Hashes of the n-grams that end at each word of some texts, and how often each is in its text."""
+
+    def __init__(self, column: pa.Array, order: int) -> None:
+        data, off = _text.flat(column)
+        data = _text.LOWER[data]
+        s, e, counts = _text.word_spans(data, off)
+        self.counts = counts
+        self.doc = np.repeat(np.arange(len(counts) - 1, dtype=np.int32), np.diff(counts))
+        self.place = np.arange(len(s)) - counts[:-1][self.doc]
+        self.hashes = [_text.span_hashes(data, s, e)]
+        for _ in range(1, order):
+            h = self.hashes[-1]
+            longer = np.zeros_like(h)
+            longer[1:] = _text.mix(h[:-1] * _THREE + h[1:])
+            self.hashes.append(longer)
+
+    def ends(self, k: int, part: int, parts: int) -> np.ndarray:
+        """Where n-grams of order k and of one part of the hash range end."""
+        i = np.flatnonzero(self.place >= k - 1)
+        return i if parts == 1 else i[self.hashes[k - 1][i] % np.uint64(parts) == np.uint64(part)]
+
+    def own(self, k: int) -> np.ndarray:
+        """How often the text has the n-gram of order k that ends at each word."""
+        out = np.zeros(len(self.doc), np.int32)
+        i = np.flatnonzero(self.place >= k - 1)
+        order, at, many = _runs_of(self.doc[i], self.hashes[k - 1][i])
+        out[i[order]] = np.repeat(many, many)
+        return out
 
 
 def _runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,96 +91,219 @@ def _runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
-        new[1:] |= np.diff(k[order]) != 0
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
     at = np.flatnonzero(new)
     return order, at, np.diff(np.append(at, len(order)))
 
 
-def bigram_counts(docs: DataFrame, part: int, parts: int) -> DataFrame:
-    """(u, v, c) for the bigrams of one hash part that several texts have; counted by batch first."""
+def _parts_of(spark: SparkSession) -> int:
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(it):
-        for b in _text.batches(it, 4 << 20):
-            word, counts = _words(b.column(0))
-            doc, u, v, gram = _bigrams_of(word, counts, part, parts)
-            order, at, own = _runs_of(gram, doc)  # runs of one bigram in one text
-            gram = gram[order][at]
-            first = np.flatnonzero(np.diff(gram, prepend=gram[:1] + np.uint64(1)) != 0)
-            first_row = order[at[first]]
-            c = np.add.reduceat(own, first) if len(first) else own
-            texts = np.diff(np.append(first, len(gram)))
-            yield pa.RecordBatch.from_arrays([pa.array(u[first_row]), pa.array(v[first_row]), pa.array(c), pa.array(texts)], ["u", "v", "n", "t"])
 
-    rows = docs.select("text").mapInArrow(_run.tidy(run), "u long, v long, n long, t long")
-    return rows.groupBy("u", "v").agg(F.sum("n").alias("c"), F.sum("t").alias("texts")).where("texts > 1").drop("texts")
+def _dealt(gram: np.ndarray, passes: int, parts: int):
+    """(part, indexes) of n-grams dealt out by hash."""
+    part = (gram // np.uint64(passes) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    at = np.flatnonzero(np.diff(part[order], prepend=-1))
+    return part[order[at]], np.split(order, at[1:]) if len(at) else []
 
 
-def bigrams(docs: DataFrame, part: int, parts: int) -> DataFrame:
-    """(doc_id, u, v, own) for each different bigram of each text in one hash part."""
+def _packed(arrays: list[np.ndarray], rows: list[np.ndarray]) -> pa.Array:
+    return pa.array([b"".join(a[i].tobytes() for a in arrays) for i in rows], pa.binary())
 
-    def run(it):
-        for b in _text.batches(it, 2 << 20):
-            word, counts = _words(b.column(1))
-            doc, u, v, gram = _bigrams_of(word, counts, part, parts)
-            order, at, own = _runs_of(doc, gram)
-            row = order[at]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[row])), pa.array(u[row]), pa.array(v[row]), pa.array(own.astype(np.int32))], ["doc_id", "u", "v", "own"])
-
-    return docs.select("doc_id", "text").mapInArrow(_run.tidy(run), "doc_id long, u long, v long, own int")
-
-
-def text_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, word, own) for each different word of each text; a text without words has one row, its word null and own 0."""
-
-    def run(it):
-        for b in _text.batches(it, 2 << 20):
-            word, counts = _words(b.column(1))
-            doc = np.repeat(np.arange(b.num_rows), np.diff(counts))
-            order, at, own = _runs_of(doc, word)
-            none = np.flatnonzero(np.diff(counts) == 0)
-            ids = b.column(0).take(pa.array(np.concatenate((doc[order][at], none))))
-            words = pa.concat_arrays([pa.array(word[order][at]), pa.nulls(len(none), pa.int64())])
-            yield pa.RecordBatch.from_arrays([ids, words, pa.array(np.concatenate((own, np.zeros(len(none), np.int64))).astype(np.int32))], ["doc_id", "word", "own"])
 
-    return docs.select("doc_id", "text").mapInArrow(_run.tidy(run), "doc_id long, word long, own int")
+def _unpacked(blocks: list[bytes], kinds: list[type]) -> list[np.ndarray]:
+    """The arrays of several blocks, each put together."""
+    size = sum(np.dtype(k).itemsize for k in kinds)
+    out: list[list[np.ndarray]] = [[] for _ in kinds]
+    for b in blocks:
+        n, at = len(b) // size, 0
+        for k, held in zip(kinds, out):
+            held.append(np.frombuffer(b, k, n, at))
+            at += n * np.dtype(k).itemsize
+    return [np.concatenate(x) for x in out]
 
 
-def text_starts(docs: DataFrame) -> DataFrame:
-    """(doc_id, texts): how many texts with words, whose first one never backs off."""
-    word = F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
-    return docs.groupBy("doc_id").agg(F.count_if(word).alias("texts"))
+def gram_counts(docs: DataFrame, k: int, part: int, passes: int) -> DataFrame:
+    """``(part, gram, prefix, suffix, mid, c, texts)`` of order k, for one part of the hash range.
 
+    Of orders above one only n-grams that several texts have.  ``prefix`` lacks
+    the last word, ``suffix`` the first, ``mid`` both; they are null below order 2, ``mid`` below 3.
+    """
+    parts = _parts_of(docs.sparkSession)
+    kinds = [np.uint64] * (min(k, 3) if k > 1 else 1) + [np.int32, np.int32]
 
-def score(docs: DataFrame, alpha: float = ALPHA, passes: int = PASSES) -> DataFrame:
-    """``(doc_id, n_words, log_score)`` for each doc_id."""
+    def blocks(it):
+        for b in _text.batches(it, 4 << 20):
+            x = Batch(b.column(0), k)
+            i = x.ends(k, part, passes)
+            gram = x.hashes[k - 1][i]
+            order, at, own = _runs_of(gram, x.doc[i])
+            if not len(at):
+                continue
+            each = gram[order][at]
+            first = np.flatnonzero(np.concatenate(([True], each[1:] != each[:-1])))
+            n, texts = np.add.reduceat(own, first).astype(np.int32), np.diff(np.append(first, len(each))).astype(np.int32)
+            end = i[order[at[first]]]
+            keys = [gram[order[at[first]]]] if k == 1 else [x.hashes[k - 2][end - 1], x.hashes[k - 2][end]] + ([x.hashes[k - 3][end - 1]] if k > 2 else [])
+            p, rows = _dealt(each[first], passes, parts)
+            yield pa.RecordBatch.from_arrays([pa.array(p), _packed([*keys, n, texts], rows)], ["part", "block"])
+
+    def summed(it):
+        for t, at in _text.runs(it, "part"):
+            for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
+                *keys, n, texts = _unpacked(t.column("block").slice(a, z - a).to_pylist(), kinds)
+                gram = keys[0] if k == 1 else _text.mix(keys[0] * _THREE + keys[1])
+                order = np.argsort(gram, kind="stable")
+                g = gram[order]
+                first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+                c, t2 = np.add.reduceat(n[order].astype(np.int64), first), np.add.reduceat(texts[order].astype(np.int64), first)
+                keep = np.flatnonzero(t2 > 1) if k > 1 else np.arange(len(first))
+                row = order[first[keep]]
+                columns = [pa.array(x[row].view(np.int64)) for x in ([gram] if k == 1 else [gram, *keys])]
+                columns += [pa.nulls(len(row), pa.int64())] * (4 - len(columns))
+                own_part = pa.array(np.full(len(row), t.column("part")[a].as_py()))
+                yield pa.RecordBatch.from_arrays([own_part, *columns, pa.array(c[keep]), pa.array(t2[keep])], ["part", "gram", "prefix", "suffix", "mid", "c", "texts"])
+
+    rows = docs.select("text").mapInArrow(_run.tidy(blocks), "part long, block binary")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_run.tidy(summed), "part long, gram long, prefix long, suffix long, mid long, c long, texts long")
+
+
+def _gain(k: int, own: list[np.ndarray], c: np.ndarray, prefix: np.ndarray, suffix: np.ndarray, mid: np.ndarray, alpha: float, total: int) -> np.ndarray:
+    """What a text's n-grams of order k add to its score; ``own`` has the text's counts of n-gram, prefix, suffix and mid."""
+    if k == 1:
+        return own[0] * (np.log(c.astype(float)) - math.log(total))
+    n = c - own[0]
+    hit = np.flatnonzero(n > 0)
+    out = np.zeros(len(c))
+    lower = np.log(suffix[hit].astype(float)) - math.log(total) if k == 2 else np.log((suffix[hit] - own[2][hit]).astype(float)) - np.log((mid[hit] - own[3][hit]).astype(float))
+    out[hit] = own[0][hit] * (np.log(n[hit].astype(float)) - np.log((prefix[hit] - own[1][hit]).astype(float)) - math.log(alpha) - lower)
+    return out
+
+
+def gains(docs: DataFrame, table: DataFrame, k: int, part: int, passes: int, alpha: float, total: int, head: int = HEAD) -> DataFrame:
+    """``(doc_id, n_words, s)``: what n-grams of order k and of one part of the hash range add, in several rows a document.
+
+    ``table`` has (part, gram, c, prefix_c, suffix_c, mid_c, texts).  With order 1 come
+    the numbers of words, and the factors of a text's words all backed off.
+    """
+    spark = docs.sparkSession
+    parts = _parts_of(spark)
+    counted = ["c", "prefix_c", "suffix_c", "mid_c"]
+    top = table.orderBy(F.desc("texts"), "gram").limit(max(1, head // passes)).select("gram", *counted).toArrow()  # bounded
+    top = top.take(np.argsort(top.column("gram").to_numpy().view(np.uint64), kind="stable"))
+    common = spark.sparkContext.broadcast([top.column("gram").to_numpy().view(np.uint64), *[top.column(c).to_numpy() for c in counted]])
+    kinds = [np.uint64, np.int32] + [np.int32] * (1 if k == 1 else 2 if k == 2 else 4)
+
+    def blocks(it):
+        known, *values = common.value
+        for b in _text.batches(it, 2 << 20):
+            x = Batch(b.column(1), k)
+            i = x.ends(k, part, passes)
+            gram = x.hashes[k - 1][i]
+            order, at, _ = _runs_of(x.doc[i], gram)
+            row = order[at]
+            end, gram, doc = i[row], gram[row], x.doc[i[row]]
+            own = [x.own(k)[end]]
+            if k > 1:
+                own.append(x.own(k - 1)[end - 1])
+            if k > 2:
+                own += [x.own(k - 1)[end], x.own(k - 2)[end - 1]]
+            s = np.zeros(b.num_rows)
+            inside = np.zeros(len(gram), bool)
+            if len(known) and len(gram):
+                where = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                inside = known[where] == gram
+                h, w = np.flatnonzero(inside), where[inside]
+                s += np.bincount(doc[h], _gain(k, [o[h] for o in own], *[v[w] for v in values], alpha, total), b.num_rows)
+            words = np.diff(x.counts)
+            rows = np.arange(b.num_rows) if k == 1 else np.flatnonzero(s)
+            ids = b.column(0)
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.list_(pa.int64())), ids.take(pa.array(rows)), pa.array(words[rows] if k == 1 else np.zeros(len(rows), np.int64)), pa.array(s[rows])], ["part", "block", "docs", "doc_id", "n_words", "s"])
+            rest = np.flatnonzero(~inside)
+            if not len(rest):
+                continue
+            p, some = _dealt(gram[rest], passes, parts)
+            some = [rest[j] for j in some]
+            local, lists = np.zeros(len(gram), np.int32), []
+            for j in some:
+                seen, at_doc = np.unique(doc[j], return_inverse=True)
+                local[j] = at_doc
+                lists.append(seen)
+            bounds = np.concatenate(([0], np.cumsum([len(z) for z in lists]))).astype(np.int32)
+            docs_of = pa.ListArray.from_arrays(pa.array(bounds), ids.take(pa.array(np.concatenate(lists))))
+            empty = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(p), _packed([gram, local, *own], some), docs_of, pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.float64())], ["part", "block", "docs", "doc_id", "n_words", "s"])
+
+    def joined(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = left.column("docs").combine_chunks()
+        out_ids, out_s = pa.array([], pa.int64()), np.zeros(0)
+        if left.num_rows and right.num_rows:
+            gram, local, *own = _unpacked(left.column("block").to_pylist(), kinds)
+            size = [len(z) // sum(np.dtype(q).itemsize for q in kinds) for z in left.column("block").to_pylist()]
+            many = np.diff(lists.offsets.to_numpy())
+            doc = local + np.repeat(np.cumsum(many) - many, size)
+            known = right.column("gram").to_numpy().view(np.uint64)
+            order = np.argsort(known, kind="stable")
+            known = known[order]
+            where = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+            h = np.flatnonzero(known[where] == gram)
+            w = order[where[h]]
+            s = np.bincount(doc[h], _gain(k, [o[h] for o in own], *[right.column(c).to_numpy()[w] for c in counted], alpha, total), int(many.sum())).astype(float)
+            some = np.flatnonzero(s)
+            out_ids, out_s = lists.flatten().take(pa.array(some)), s[some]
+        return pa.table({"doc_id": out_ids, "n_words": pa.array(np.zeros(len(out_ids), np.int64)), "s": pa.array(out_s)})
+
+    schema = "part long, block binary, docs array<long>, doc_id long, n_words long, s double"
+    made = _run.cut(docs.select("doc_id", "text").mapInArrow(_run.tidy(blocks), schema), "grams")
+    met = made.where("part is not null").select("part", "block", "docs").groupBy("part").cogroup(table.select("part", "gram", *counted).groupBy("part")).applyInArrow(joined, "doc_id long, n_words long, s double")
+    out = made.where("part is null").select("doc_id", "n_words", "s").unionByName(met)
+    out = _run.cut(out.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("s")), "scores")
+    _run.drop_cut(spark, made)
+    return out
+
+
+def backed_off(docs: DataFrame, order: int, alpha: float) -> DataFrame:
+    """``(doc_id, n_words, s)``: the factors of each text's words if all of them backed off to no history."""
+    n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+    steps = F.when(n >= order, F.lit((order - 1) * (order - 2) // 2) + (n - order + 1) * (order - 1)).otherwise(n * (n - 1) / 2)
+    return docs.groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_words"), (F.sum(steps) * math.log(alpha)).alias("s"))
+
+
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, passes: int = PASSES, head: int = HEAD) -> DataFrame:
+    """``(doc_id, n_words, log_score)`` for each doc_id, by n-grams of up to ``order`` words."""
     spark = docs.sparkSession
     _run.small_batches(spark, 500)
-    words = _run.cut(word_counts(docs), "words")
+    none = F.lit(None).cast("long")
+    words = _run.cut(gram_counts(docs, 1, 0, 1), "words")
     total = words.agg(F.sum("c")).first()[0] or 1
-    none = F.lit(0).cast("long")
-    log = words.select("word", F.log(F.col("c").cast("double")).alias("l"))
-    each = text_words(docs).join(log, "word", "left")
-    backed_off = F.coalesce(F.col("own") * (F.col("l") + math.log(alpha / total)), F.lit(0.0))
-    parts = [_run.cut(each.groupBy("doc_id").agg(F.sum("own").alias("n_words"), F.sum(backed_off).alias("s")), "scores")]
-    parts.append(text_starts(docs).select("doc_id", none.alias("n_words"), (F.col("texts") * -math.log(alpha)).alias("s")))
-    for p in range(passes):
-        counts = bigram_counts(docs, p, passes)
-        counts = counts.join(log.toDF("u", "lu"), "u").join(log.toDF("v", "lv"), "v")
-        counts = _run.cut(counts.select("u", "v", "c", (-F.col("lu") - F.col("lv") - math.log(alpha / total)).alias("gain")), "bigrams")  # as a table, so that a join on a hot bigram can be split
-        hits = bigrams(docs, p, passes).join(counts, ["u", "v"]).where("c > own")
-        gain = F.col("own") * (F.log((F.col("c") - F.col("own")).cast("double")) + F.col("gain"))
-        parts.append(_run.cut(hits.groupBy("doc_id").agg(none.alias("n_words"), F.sum(gain).alias("s")), "scores"))
-        _run.drop_cut(spark, counts)
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+    tables = [words.select("gram", "c")]
+    table = words.select("part", "gram", "c", *[F.lit(0).cast("long").alias(x) for x in ("prefix_c", "suffix_c", "mid_c")], "texts")
+    out = gains(docs, table, 1, 0, 1, alpha, total, head).unionByName(backed_off(docs, order, alpha))
+    for k in range(2, order + 1):
+        own = []
+        for p in range(passes):
+            found = gram_counts(docs, k, p, passes)
+            lower = tables[k - 2]
+            found = found.join(lower.toDF("prefix", "prefix_c"), "prefix").join(lower.toDF("suffix", "suffix_c"), "suffix")
+            found = found.join(tables[k - 3].toDF("mid", "mid_c"), "mid") if k > 2 else found.withColumn("mid_c", none)
+            found = _run.cut(found.select("part", "gram", "c", "prefix_c", "suffix_c", F.coalesce("mid_c", F.lit(0).cast("long")).alias("mid_c"), "texts"), "counts")
+            out = out.unionByName(gains(docs, found, k, p, passes, alpha, total, head))
+            own.append(found)
+        every = own[0].select("gram", "c")
+        for x in own[1:]:
+            every = every.unionByName(x.select("gram", "c"))
+        tables.append(every)
     return out.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("log_score"))
 
 
 def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff scores of all ``documents`` against the corpus."""
+    """Stupid-backoff scores of all ``documents`` against the rest of the corpus, in all and a word."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+    mean = F.coalesce(F.col("log_score") / F.nullif("n_words", F.lit(0)), F.lit(0.0))
+    return score(docs).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
 
 
 OP9_SQL = """
@@ -170,16 +313,17 @@ WITH d AS (
   FROM documents
 ), g AS (SELECT doc_id, r, unnest(list_transform(range(1, len(ws) + 1), lambda i: {'u': CASE WHEN i > 1 THEN ws[i - 1] END, 'v': ws[i]})) AS x FROM d
 ), b AS (SELECT doc_id, r, x.u AS u, x.v AS v, count(*) AS own FROM g GROUP BY ALL
-), c1 AS (SELECT v, sum(own) AS c FROM b GROUP BY v
+), w AS (SELECT r, v, sum(own) AS own FROM b GROUP BY r, v
+), c1 AS (SELECT v, sum(own) AS c FROM w GROUP BY v
 ), c2 AS (SELECT u, v, sum(own) AS c FROM b WHERE u IS NOT NULL GROUP BY u, v
 ), t AS (SELECT sum(c) AS n FROM c1
 ), s AS (
   SELECT b.doc_id, CASE
-      WHEN b.u IS NULL THEN own * ln(cv.c::DOUBLE / n)
-      WHEN c2.c > own THEN own * ln((c2.c - own)::DOUBLE / cu.c)
-      ELSE own * ln(0.4 * cv.c::DOUBLE / n) END AS s
-  FROM b CROSS JOIN t JOIN c1 cv ON cv.v = b.v LEFT JOIN c1 cu ON cu.v = b.u LEFT JOIN c2 ON c2.u = b.u AND c2.v = b.v
+      WHEN b.u IS NULL THEN b.own * ln(cv.c::DOUBLE / n)
+      WHEN c2.c > b.own THEN b.own * ln((c2.c - b.own)::DOUBLE / (cu.c - wu.own))
+      ELSE b.own * ln(0.4 * cv.c::DOUBLE / n) END AS s
+  FROM b CROSS JOIN t JOIN c1 cv ON cv.v = b.v LEFT JOIN c1 cu ON cu.v = b.u LEFT JOIN w wu ON wu.v = b.u AND wu.r = b.r LEFT JOIN c2 ON c2.u = b.u AND c2.v = b.v
 ), z AS (SELECT doc_id, sum(s) AS s FROM s GROUP BY doc_id)
-SELECT d.doc_id, sum(len(ws))::BIGINT AS n_words, round(coalesce(any_value(z.s), 0), 4) AS log_score
+SELECT d.doc_id, sum(len(ws))::BIGINT AS n_words, round(coalesce(any_value(z.s), 0), 4) AS log_score, round(coalesce(coalesce(any_value(z.s), 0) / nullif(sum(len(ws)), 0), 0), 6) AS mean_log_score
 FROM d LEFT JOIN z ON z.doc_id IS NOT DISTINCT FROM d.doc_id GROUP BY d.doc_id
 """
