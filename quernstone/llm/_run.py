@@ -57,6 +57,11 @@ def tables():
         _MADE[:] = [x for x in _MADE if x is not made]
 
 
+def names(schema: str) -> list[str]:
+    """The column names of a schema of plain types."""
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table as part of the plan, of a size that the optimizer knows."""
     kind = spark.createDataFrame([], schema).schema

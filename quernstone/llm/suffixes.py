@@ -11,8 +11,14 @@ segment.  Groups of one gram that occurs once have no repeats; groups whose
 segments are all the same are repeats throughout; the segments of the other
 groups, each different one once, are suffix-sorted: buckets of 8-byte grams
 are refined by sorting on the bucket identifiers at the offset reached so far,
-and the refined identifiers serve the next, twice as deep, refinement.  Groups
-too large for one task have their strings counted by hash across tasks.
+and the refined identifiers serve the next, twice as deep, refinement.
+
+A group with more bytes than one task should sort is refined across tasks
+first, by what its strings have in common besides the gram: strings that start
+equally far before the anchor, within ``SLICES`` positions, share a core, and
+only those with equal cores stay together.  Bytes are compared by sorting, or
+by 128 bits of a cryptographic digest: of whole texts, segments and cores.
+Hashes of grams only bring together what is compared then.
 
 A document whose text another row repeats is all repeats if it has ``width``
 bytes, so equal texts take part once.
@@ -34,8 +40,10 @@ from pyspark.sql import functions as F
 from quernstone.llm import _run, _text
 
 SLAB = 1 << 17
-#: Positions that one suffix sort takes; the strings of a group beyond it are counted across tasks.
+#: Bytes of a group that one suffix sort takes; a group beyond it is refined by cores first.
 SORTED = 1 << 20
+#: Offsets from the anchor that share a core, in each refinement; with one, the core is the string.
+SLICES = (32, 1)
 
 
 def gram_size(width: int) -> int:
@@ -64,8 +72,12 @@ def _window_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(tail[: n - w + 1], head[w - 1 : n])
 
 
-def segments(data: np.ndarray, off: np.ndarray, width: int, gram: int | None = None):
-    """Segments of a batch of texts: document, start, starts, gram hash, own hash."""
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def segments(data: np.ndarray, off: np.ndarray, width: int, gram: int | None = None, bits: int = 64):
+    """Segments of a batch of texts: document, start, starts, gram hash, digest (16 bytes each), anchor behind the start."""
     gram = gram or gram_size(width)
     w = width - gram + 1
     mask = np.uint64((1 << 21) - 1)
@@ -77,7 +89,7 @@ def segments(data: np.ndarray, off: np.ndarray, width: int, gram: int | None = N
         n = stop - at
         q = _sums(text)
         g = (q[gram : n + w - 1 + gram] - q[: n + w - 1]) * _text.inverse_powers(n + w - 1)
-        g = _text.mix(g)
+        g = _text.mix(g) & np.uint64(2**64 - 2 ** (64 - bits))
         key = g & ~mask | (mask - np.arange(len(g), dtype=np.uint64))
         d0, d1 = np.searchsorted(off, [at, stop - 1], "right") - 1
         ok = np.zeros(n, bool)
@@ -95,12 +107,12 @@ def segments(data: np.ndarray, off: np.ndarray, width: int, gram: int | None = N
         i = np.flatnonzero(cut)
         runs = np.diff(np.append(i, len(s)))
         s0 = s[i]
-        own = (q[s0 + runs - 1 + width] - q[s0]) * _text.inverse_powers(n)[s0]
-        own = _text.mix(own ^ runs.astype(np.uint64))
-        parts.append((doc[i], s0 + at - off[doc[i]], runs, g[p[i]], own))
+        held = text.tobytes()
+        own = np.array([digest(held[a:b]) for a, b in zip(s0.tolist(), (s0 + runs + width - 1).tolist())], "V16")
+        parts.append((doc[i], s0 + at - off[doc[i]], runs, g[p[i]], own, p[i] - s0))
     if not parts:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.view(np.uint64), z.view(np.uint64)
+        return z, z, z, z.view(np.uint64), np.zeros(0, "V16"), z
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -167,12 +179,6 @@ def _sort_groups(gram: np.ndarray, texts: list[bytes], starts: np.ndarray, weigh
     return np.split(count[inv] > 1, np.cumsum(starts)[:-1])
 
 
-def _string_hashes(text: bytes, starts: int, width: int) -> np.ndarray:
-    """A hash of the string at each start of one segment."""
-    q = _sums(np.frombuffer(text, np.uint8))
-    return _text.mix((q[width : width + starts] - q[:starts]) * _text.inverse_powers(starts))
-
-
 def _ranges(flags: np.ndarray) -> bytes:
     """Runs of true flags as int32 pairs (first, past the last)."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
@@ -181,15 +187,17 @@ def _ranges(flags: np.ndarray) -> bytes:
 
 def _repeats_in_groups(width: int):
     def emit(t, flags):
-        return pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in ("gram", "own")] + [_text.binaries([np.frombuffer(_ranges(f), np.int32) for f in flags])], ["gram", "own", "ranges"])
+        first = t.column("skip").to_numpy()
+        found = [np.frombuffer(_ranges(f), np.int32) + k for f, k in zip(flags, first.tolist())]
+        return pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in ("gram", "own")] + [_text.binaries(found)], ["gram", "own", "ranges"])
 
     def run(it):
-        for t, at in _text.runs(it, "gram"):
+        for t, at in _text.runs(it, "task"):
             n = t.column("starts").to_numpy().astype(np.int64)
             size = np.cumsum(n + width - 1)
             weight = t.column("n").to_numpy()
             i = 0
-            while i < len(at) - 1:
+            while i < len(at) - 1:  # small groups share a sort: strings of different ones differ
                 a, done = int(at[i]), size[at[i] - 1] if at[i] else 0
                 j = max(i + 1, int(np.searchsorted(size[at[1:] - 1], done + SORTED, "right")))
                 b = int(at[j])
@@ -200,66 +208,101 @@ def _repeats_in_groups(width: int):
     return run
 
 
-def _repeats_in_wide_groups(segments: DataFrame, width: int) -> DataFrame:
-    """The same, ``(gram, own, ranges)``, for groups that no single task should hold.
+def _sorted_repeats(pieces: DataFrame, width: int) -> DataFrame:
+    """``(gram, own, ranges)`` of pieces in groups (gram, core) that one task can sort."""
+    rows = pieces.select("gram", "own", "n", "starts", "skip", "segment", F.xxhash64("gram", "core").alias("task"))
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_run.tidy(_repeats_in_groups(width)), "gram long, own binary, ranges binary")
 
-    Every string of the group is one row, counted by its hash with partial
-    aggregation, and those that occur again are put together by segment.
-    """
 
-    def strings(it):
-        for b in it:
-            for i in range(b.num_rows):
-                n = b.column(3)[i].as_py()
-                h = _string_hashes(b.column(4)[i].as_py(), n, width)
-                same = [pa.array(np.full(n, b.column(c)[i].as_py(), np.int64)) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n, dtype=np.int32)), pa.array(h.view(np.int64))], ["gram", "own", "n", "i", "h"])
+_PIECE = "gram long, own binary, n long, starts int, anchor int, skip int, core binary, segment binary"
+
 
-    def joined(it):
+def _by_cores(pieces: DataFrame, slice_: int, width: int) -> DataFrame:
+    """Cut pieces where the distance of their strings to the anchor passes a multiple of ``slice_``; ``core`` is of what the strings of each share."""
+
+    def run(it):
         for b in it:
             out = []
-            for at in b.column(2):
-                i = np.sort(at.values.to_numpy())
-                cut = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1] + 1)))
-                out.append(np.stack((i[cut], i[np.append(cut[1:] - 1, len(i) - 1)] + 1), 1).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _text.binaries(out)], ["gram", "own", "ranges"])
+            for gram, own, n, starts, anchor, skip, core, segment in zip(*(c.to_pylist() for c in b.columns)):
+                at = 0
+                while at < starts:
+                    step = (anchor - at) // slice_
+                    stop = min(starts, anchor - step * slice_ + 1)  # the strings that start at .. stop-1 are in one slice
+                    low = anchor - (step + 1) * slice_ + 1
+                    common = segment[anchor - step * slice_ : low + width]
+                    out.append((gram, own, n, stop - at, anchor - at, skip + at, digest(core + step.to_bytes(8, "big") + common), segment[at : stop + width - 1] if slice_ > 1 else b""))
+                    at = stop
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)], _run.names(_PIECE))
+
+    return pieces.mapInArrow(_run.tidy(run), _PIECE)
+
+
+def _repeats_in_wide_groups(pieces: DataFrame, width: int) -> DataFrame:
+    """The same of groups that no single task should sort: refined by cores until they are small or all equal."""
+    spark, done = pieces.sparkSession, None
+    for slice_ in SLICES:
+        pieces = _run.cut(_by_cores(pieces, slice_, width), "cores")
+        sizes = pieces.groupBy("gram", "core").agg(F.sum(F.length("segment")).alias("size"), F.sum("n").alias("members"))
+        sizes = _run.cut(sizes.where("members > 1"), "sizes")  # as a table, so that a join on a hot group can be split
+        met = pieces.join(sizes.hint("merge"), ["gram", "core"])
+        if slice_ == 1:  # the core is the string: all of a group are equal
+            found = met.select("gram", "own", _pairs("skip", "skip + starts").alias("ranges"))
+        else:
+            found = _sorted_repeats(met.where(F.col("size") <= SORTED), width)
+        done = found if done is None else done.unionByName(found)
+        pieces = met.where(F.col("size") > SORTED).drop("size", "members")
+        if slice_ == 1 or not sizes.where(F.col("size") > SORTED).limit(1).count():
+            break
+        pieces = pieces.select(*_run.names(_PIECE))
+    return done
+
+
+def _pairs(first: str, past: str):
+    """One range as int32 pair, in the byte order of numpy arrays."""
+    def little(x):
+        return F.reverse(F.expr(f"to_binary(lpad(hex(cast({x} as int)), 8, '0'), 'hex')"))
+
+    return F.concat(little(first), little(past))
+
 
-    rows = segments.select("gram", "own", "n", "starts", "segment").mapInArrow(_run.tidy(strings), "gram long, own long, n long, i int, h long")
-    again = _run.cut(rows.groupBy("gram", "h").agg(F.sum("n").alias("c")).where("c > 1").select("gram", "h"), "again")  # as a table, so that a join on a hot string can be split
-    hit = rows.join(again.hint("merge"), ["gram", "h"]).groupBy("gram", "own").agg(F.collect_list("i").alias("at"))
-    return hit.mapInArrow(_run.tidy(joined), "gram long, own long, ranges binary")
+def text_key():
+    """What a text is known by: 128 bits of its SHA-256."""
+    return F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)
 
 
-def repeated_ranges(docs: DataFrame, width: int = 400) -> tuple[DataFrame, DataFrame]:
+def repeated_ranges(docs: DataFrame, width: int = 400, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """Keys of texts that several rows have, and for each text key the starts of repeated strings.
 
-    The first table has (key, copies), the second (key, first list, past list):
-    ranges of starts.
+    The first table has (key, copies), the second (key, found): where segments
+    start, and ranges of starts in them.  With fewer ``bits`` of the gram hashes more comes together
+    that has to be told apart; the result is the same.
     """
     spark = docs.sparkSession
 
     def scan(it):
         for b in _text.batches(it, 2 << 20):
             data, off = _text.flat(b.column(2))
-            doc, s0, n, gram, own = segments(data, off, width)
+            doc, s0, n, gram, own, anchor = segments(data, off, width, bits=bits)
             bounds = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (s0.astype(np.int32), n.astype(np.int32), gram.view(np.int64), own.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc_id", "key", "s0", "starts", "gram", "own"])
+            digests = pa.Array.from_buffers(pa.binary(16), len(own), [None, pa.py_buffer(own.tobytes())]).cast(pa.binary())
+            lists = [pa.ListArray.from_arrays(bounds, x) for x in (pa.array(s0.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(gram.view(np.int64)), digests, pa.array(anchor.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc_id", "key", "s0", "starts", "gram", "own", "anchor"])
 
     _run.small_batches(spark, 500)
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    scanned = keyed.mapInArrow(_run.tidy(scan), "doc_id long, key long, s0 array<int>, starts array<int>, gram array<long>, own array<long>")
+    keyed = docs.select("doc_id", text_key().alias("key"), "text")
+    scanned = keyed.mapInArrow(_run.tidy(scan), "doc_id long, key binary, s0 array<int>, starts array<int>, gram array<long>, own array<binary>, anchor array<int>")
     scanned = _run.cut(scanned, "segments")
     rows = scanned.select("doc_id", "key")
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("from")).where("copies > 1")
     copies = _run.cut(copies, "copies")  # as a table, so that a join on a hot text can be split
     each = scanned.where("size(gram) > 0").join(copies.withColumnRenamed("key", "k").hint("merge"), F.col("key") == F.col("k"), "left")
     each = each.where("copies is null or doc_id <=> `from`")
-    seg = each.select("key", "doc_id", F.explode(F.arrays_zip("s0", "starts", "gram", "own")).alias("x")).select("key", "doc_id", "x.*")
+    seg = each.select("key", "doc_id", F.explode(F.arrays_zip("s0", "starts", "gram", "own", "anchor")).alias("x")).select("key", "doc_id", "x.*")
     grams = seg.groupBy("gram").agg(F.count("*").alias("c"), F.min("own").alias("low"), F.max("own").alias("high")).where("c > 1")
     grams = _run.cut(grams.select("gram", F.expr("low != high").alias("mixed")), "grams")  # as a table, so that a join on a hot gram can be split
     seg = _run.cut(seg.join(grams.hint("merge"), "gram"), "met")
-    mixed = seg.where("mixed").groupBy("gram", "own").agg(F.count("*").alias("n"), F.min(F.struct("key", "s0", "doc_id", "starts")).alias("x"))
+    mixed = seg.where("mixed").groupBy("gram", "own").agg(F.count("*").alias("n"), F.min(F.struct("key", "s0", "doc_id", "starts", "anchor")).alias("x"))
     mixed = _run.cut(mixed.select("gram", "own", F.least("n", F.lit(2)).alias("n"), "x.*"), "different")
 
     def cut_out(it):
@@ -267,39 +310,39 @@ def repeated_ranges(docs: DataFrame, width: int = 400) -> tuple[DataFrame, DataF
             texts = b.column(0).cast(pa.binary()).to_pylist()
             s0, n = b.column(4).to_numpy(), b.column(5).to_numpy()
             seg = pa.array([x[s : s + k + width - 1] for x, s, k in zip(texts, s0.tolist(), n.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:4], *b.columns[5:7], seg], ["gram", "own", "n", "starts", "wide", "segment"])
+            skip, core = pa.array(np.zeros(b.num_rows, np.int32)), pa.array([b""] * b.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:4], *b.columns[5:7], skip, core, seg, b.column(7)], [*_run.names(_PIECE), "wide"])
 
     wide = mixed.groupBy("gram").agg(F.sum(F.col("starts") + width - 1).alias("size")).where(F.col("size") > SORTED).select("gram", F.lit(True).alias("wide"))
     wide = _run.cut(wide, "wide")
     mixed = mixed.join(wide.hint("merge"), "gram", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
-    wanted = mixed.groupBy("key", "doc_id").agg(F.collect_list(F.struct("gram", "own", "n", "s0", "starts", "wide")).alias("want"))
+    wanted = mixed.groupBy("key", "doc_id").agg(F.collect_list(F.struct("gram", "own", "n", "s0", "starts", "anchor", "wide")).alias("want"))
     same = (keyed["key"] == wanted["key"]) & keyed["doc_id"].eqNullSafe(wanted["doc_id"])
     texts = keyed.join(wanted.hint("merge"), same).select("text", F.explode("want").alias("x")).select("text", "x.*")
-    texts = texts.mapInArrow(_run.tidy(cut_out), "gram long, own long, n long, starts int, wide boolean, segment binary")
-    found = texts.where("not wide").repartition("gram").sortWithinPartitions("gram", "own").mapInArrow(_run.tidy(_repeats_in_groups(width)), "gram long, own long, ranges binary")
+    texts = texts.mapInArrow(_run.tidy(cut_out), _PIECE + ", wide boolean")
+    found = _sorted_repeats(texts.where("not wide"), width)
     if wide.limit(1).count():
-        found = found.unionByName(_repeats_in_wide_groups(_run.cut(texts.where("wide"), "wide"), width))
-    found = _run.cut(found.dropDuplicates(["gram", "own"]), "found")  # as a table, so that a join on a hot segment can be split
-
-    def place(it):
-        for b in it:
-            r = [np.frombuffer(x, np.int32).reshape(-1, 2) + s for x, s in zip(b.column(2).to_pylist(), b.column(1).to_pylist())]
-            k = np.repeat(b.column(0).to_numpy(), [len(x) for x in r])
-            r = np.concatenate(r) if len(r) else np.zeros((0, 2), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(r[:, 0].astype(np.int32)), pa.array(r[:, 1].astype(np.int32))], ["key", "first", "past"])
+        found = found.unionByName(_repeats_in_wide_groups(texts.where("wide").drop("wide"), width))
+    found = _run.cut(found.dropDuplicates(["gram", "own", "ranges"]), "found")  # as a table, so that a join on a hot segment can be split
 
     some = seg.where("mixed").select("gram", "own", "key", "s0").join(found.hint("merge"), ["gram", "own"]).where("length(ranges) > 0").select("key", "s0", "ranges")
-    some = some.mapInArrow(_run.tidy(place), "key long, first int, past int")
-    every = seg.where("not mixed").select("key", F.col("s0").alias("first"), F.expr("s0 + starts").alias("past"))
-    ranges = every.unionByName(some).groupBy("key").agg(F.collect_list("first").alias("first"), F.collect_list("past").alias("past"))
+    every = seg.where("not mixed").select("key", "s0", _pairs("0", "starts").alias("ranges"))
+    ranges = every.unionByName(some).groupBy("key").agg(F.collect_list(F.struct("s0", "ranges")).alias("found"))
     return copies.select("key", "copies"), ranges
 
 
+def _starts(found: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """First and past of all ranges of starts of one text."""
+    parts = [np.frombuffer(x["ranges"], np.int32).reshape(-1, 2) + x["s0"] for x in found.as_py() or ()]
+    both = np.concatenate(parts) if parts else np.zeros((0, 2), np.int32)
+    return both[:, 0], both[:, 1]
+
+
 def spans_of(n_bytes: int, copied: bool, first, past, width: int) -> np.ndarray:
     """Maximal removed runs (start, end) of one text."""
     if copied and n_bytes >= width:
         return np.array([[0, n_bytes]])
-    if first is None or not len(first):
+    if not len(first):
         return np.zeros((0, 2), np.int64)
     order = np.argsort(first, kind="stable")
     a, b = first[order].astype(np.int64), past[order].astype(np.int64) + width - 1
@@ -310,25 +353,25 @@ def spans_of(n_bytes: int, copied: bool, first, past, width: int) -> np.ndarray:
     return np.stack((a[i], reach[np.append(i[1:] - 1, len(a) - 1)]), 1)
 
 
-def with_spans(docs: DataFrame, width: int, keep: list[str], finish, schema: str) -> DataFrame:
+def with_spans(docs: DataFrame, width: int, keep: list[str], finish, schema: str, bits: int = 64) -> DataFrame:
     """Apply ``finish(batch, texts, spans)`` to all rows with the spans to remove of each text."""
     with _run.tables() as made:
-        copied, ranges = repeated_ranges(docs, width)
+        copied, ranges = repeated_ranges(docs, width, bits)
         marks = ranges.join(copied.hint("merge"), "key", "full")
     marks = _run.cut(marks, "marks")  # as a table, so that a join on a hot text can be split
     _run.drop_cut(docs.sparkSession, *made)
-    keyed = docs.select(*keep, "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    keyed = docs.select(*keep, "text", text_key().alias("key"))
 
     def run(it):
         for b in _text.batches(it, 4 << 20):
             col = {f.name: b.column(i) for i, f in enumerate(b.schema)}
             texts = [x or b"" for x in col["text"].cast(pa.large_binary()).to_pylist()]
             spans = []
-            for x, f, p, c in zip(texts, col["first"], col["past"], col["copies"].to_pylist()):
-                spans.append(spans_of(len(x), c is not None, f.values.to_numpy() if f.is_valid else None, p.values.to_numpy() if p.is_valid else None, width))
+            for x, f, c in zip(texts, col["found"], col["copies"].to_pylist()):
+                spans.append(spans_of(len(x), c is not None, *_starts(f), width))
             yield finish(b, texts, spans)
 
-    marked = keyed.join(marks.hint("merge"), "key", "left").select(*keep, "text", "first", "past", "copies")
+    marked = keyed.join(marks.hint("merge"), "key", "left").select(*keep, "text", "found", "copies")
     return marked.mapInArrow(_run.tidy(run), schema)
 
 
@@ -339,7 +382,7 @@ def _left(text: bytes, spans: np.ndarray) -> bytes:
     return b"".join(text[i:j] for i, j in zip(edge[::2], edge[1::2]))
 
 
-def removed(docs: DataFrame, width: int = 400) -> DataFrame:
+def removed(docs: DataFrame, width: int = 400, bits: int = 64) -> DataFrame:
     """``(doc_id, n_bytes, spans array<struct<start,end>>, kept binary)`` of each row."""
 
     def finish(b, texts, spans):
@@ -347,7 +390,7 @@ def removed(docs: DataFrame, width: int = 400) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(lists, kind), pa.array([_left(x, s) for x, s in zip(texts, spans)], pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return with_spans(docs, width, ["doc_id"], finish, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return with_spans(docs, width, ["doc_id"], finish, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary", bits)
 
 
 def without_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
