@@ -32,25 +32,43 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUCKET, FAN_IN = 4096, 64
 
 
-def targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
-    """Split ``share`` of all sizes by weight; none above ``most`` times its size.
-
-    What a source can't take is shared anew by weight until none is above.
+def ranked(sources: DataFrame) -> DataFrame:
+    """The rows of (source, ...) with ``pos``, their place by code point, null last, from 0; sorted in many tasks."""
+    key = [F.col("source").isNull(), F.col("source")]
+    rows = sources.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("task", F.spark_partition_id()).withColumn("own", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = _run.cut(rows, "ranked")  # tasks and places are fixed from here on
+    before, found = 0, []
+    for task, n in sorted((r.task, r.n) for r in rows.groupBy("task").agg(F.count("*").alias("n")).collect()):  # a row for each task
+        found.append((task, before))
+        before += n
+    offsets = _run.local_rows(rows.sparkSession, found, "task int, before long")
+    return rows.join(F.broadcast(offsets), "task").withColumn("pos", F.col("before") + F.col("own")).drop("task", "own", "before")
+
+
+def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """(source, source_size, rows, target) from (source, source_size, rows).
+
+    ``share`` of all sizes is split by weight, none above ``most`` times its
+    size; what a source can't take is shared anew by weight until none is above.
+    A source is full as soon as the words that come to a unit of weight exceed
+    ``most`` times its size by weight, so each round is one sum over the table.
     """
-    out = [0.0] * len(sizes)
-    rest, open_ = share * sum(sizes), [i for i, n in enumerate(sizes) if n > 0]
-    while open_:
-        unit = rest / sum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] > most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = unit * weights[i]
+    table = F.array(*[F.lit(float(w)) for w in weights])
+    weighted = _run.cut(ranked(sources).withColumn("weight", F.get(table, (F.col("pos") % len(weights)).cast("int"))), "sources")
+    open_ = weighted.where("source_size > 0")
+    total = open_.agg(F.sum("source_size")).first()[0] or 0
+    unit, before = 0.0, None
+    while before != unit and total:
+        before = unit
+        full = F.col("source_size") * most < F.col("weight") * unit
+        gone, left = open_.agg(F.sum(F.when(full, F.col("source_size"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if not left:
+            unit = float("inf")
             break
-        for i in full:
-            out[i] = most * float(sizes[i])
-            rest -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return out
+        unit = (share * total - most * (gone or 0)) / left
+    most_of = F.col("source_size") * F.lit(float(most))
+    target = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(most_of, F.col("weight") * F.lit(unit)))
+    return weighted.select("source", "source_size", "rows", target.alias("target"))
 
 
 def pivot(size: np.ndarray, share: np.ndarray, chance: np.ndarray) -> np.ndarray:
@@ -90,18 +108,11 @@ def _round_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``(doc_id, size, source, source_size, target, copies, taken)`` of each row of (doc_id, text, source).
-
-    The table of sources, one row each, is held by the driver, as a mix's
-    weights are; a million sources take about 100 MB there.
-    """
-    spark = docs.sparkSession
+    """``(doc_id, size, source, source_size, target, copies, taken)`` of each row of (doc_id, text, source)."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     sized = _run.cut(docs.select("doc_id", "source", size.alias("size")), "sizes")
-    found = [(r.source, int(r.n), int(r.rows)) for r in sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()]
-    found.sort(key=lambda r: (r[0] is None, r[0] or ""))
-    goal = targets([n for _, n, _ in found], [weights[i % len(weights)] for i in range(len(found))], share, most)
-    table = _run.local_rows(spark, [(s, n, t, -(-rows // BUCKET)) for (s, n, rows), t in zip(found, goal)], "origin string, source_size long, target double, buckets long")
+    found = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    table = _run.cut(targets(found, weights, share, most).select(F.col("source").alias("origin"), "source_size", "target", F.ceil(F.col("rows") / BUCKET).cast("long").alias("buckets")), "targets")
     fraction = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.when(F.col("size") > 0, F.floor(fraction)).otherwise(F.lit(0)).cast("long")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(1 << 40)) / float(1 << 40)
@@ -111,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     rows = _run.cut(rows.groupBy("source", "bucket").applyInPandas(_round_bucket, kind), "rounded")
     done, level = [rows.where("share in (0, 1)")], 0
     left = rows.where("share not in (0, 1)")
-    most_buckets = max((-(-r // BUCKET) for _, _, r in found), default=1)
+    most_buckets = table.agg(F.max("buckets")).first()[0] or 1
     while most_buckets > 1:
         most_buckets, level = -(-most_buckets // FAN_IN), level + 1
         left = left.withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))

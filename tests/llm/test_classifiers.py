@@ -1,5 +1,7 @@
 import itertools
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -50,6 +52,81 @@ def test_isotonic_is_monotone_and_least_squares():
     assert ((fit - y) ** 2).sum() <= ((y.mean() - y) ** 2).sum()
 
 
+def brute_trees(x, edges, y, trees, depth):
+    """The same boosting, each split found by trying every feature and every bin bound on whole rows."""
+    bins = np.array([[sum(v >= e for e in edges[k]) for k, v in enumerate(row)] for row in x])
+    f = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-f))
+        g, h = y - p, p * (1 - p)
+
+        def grow(rows, level):
+            if level == depth:
+                return [(rows, toxicity.RATE * np.clip(g[rows].sum() / (h[rows].sum() + 1), -4, 4))]
+            best, cut = 1e-3, None
+            if len(rows) > 20:
+                for k in range(x.shape[1]):
+                    for at in range(toxicity.BINS + 1):
+                        left = rows[bins[rows, k] <= at]
+                        right = rows[bins[rows, k] > at]
+                        if len(left) < 8 or len(right) < 8:
+                            continue
+                        gain = sum(g[z].sum() ** 2 / (h[z].sum() + 1) for z in (left, right)) - g[rows].sum() ** 2 / (h[rows].sum() + 1)
+                        if gain > best + 1e-12:
+                            best, cut = gain, (k, at)
+            if cut is None:
+                return grow(rows, level + 1)
+            inside = bins[rows, cut[0]] <= cut[1]
+            return grow(rows[inside], level + 1) + grow(rows[~inside], level + 1)
+
+        for rows, value in grow(np.arange(len(y)), 0):
+            f[rows] += value
+    return f
+
+
+def test_trees_equal_exhaustive_split_search(monkeypatch):
+    monkeypatch.setattr(toxicity, "TREES", 4)
+    r = np.random.default_rng(6)
+    x = r.normal(size=(160, 4))
+    y = ((x[:, 0] > 0.2) ^ (x[:, 2] > 0) | (x[:, 1] > 1.5)).astype(float)
+    trees = toxicity.Trees().fit(x, y)
+    assert np.allclose(trees.raw(x), brute_trees(x, trees.edges, y, 4, toxicity.DEPTH))
+
+
+def test_line_counts_across_slabs(monkeypatch):
+    text = "Ab1|!~. é\n" * 50 + "\n\nz" * 9
+    whole = quality.line_features(pa.array([text, "", text]))[0]
+    monkeypatch.setattr(quality, "SLAB", 7)
+    assert np.allclose(quality.line_features(pa.array([text, "", text]))[0], whole)
+    kind = quality._KIND[np.frombuffer(text.encode(), np.uint8)]
+    start = np.array([0, *(np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 10) + 1)])
+    count = quality._kinds_of_lines(kind, start)
+    lines = text.encode().split(b"\n")
+    for i, line in enumerate(lines):
+        assert count[i, 1:].tolist() == [sum(quality._KIND[c] == k for c in line) for k in range(1, quality.KINDS)]
+
+
+def test_sample_takes_whole_texts_within_its_bytes(spark):
+    docs = documents(spark, [(i, "x" * (100 * (i % 7 + 1))) for i in range(60)] + [(1, "y")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(7, 1 - 7 % 2), (8, None)], "doc_id long, quality int")
+    rows = quality.labelled_sample(docs, labels, "quality", 3, 1, 40, 4000).collect()
+    assert 0 < sum(len(r.text) for r in rows) <= 4000 and len({r.doc_id for r in rows}) == len(rows) <= 40
+    assert all(len(r.text) == 100 * (r.doc_id % 7 + 1) for r in rows) and 7 not in {r.doc_id for r in rows}
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.label == r.doc_id % 2 for r in rows)
+
+
+@pytest.mark.parametrize("line", ["some words of a line, 12 of them and more!\n", "one line without end "])
+def test_text_of_20_mb_in_bounded_memory(line):
+    program = f"""
+import resource, pyarrow as pa
+from quernstone.llm import quality
+x, length, before = quality.line_features(pa.array([{line!r} * (20_000_000 // len({line!r}))]))
+assert before[-1] == len(x)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    assert int(subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, check=True).stdout) < 1300
+
+
 def auc(score, label):
     pairs = [(a > b) + 0.5 * (a == b) for a, y in zip(score, label) if y for b, z in zip(score, label) if not z]
     return sum(pairs) / len(pairs)

@@ -6,6 +6,19 @@ from quernstone.llm import mixing
 from tests.llm.helpers import WORD, documents
 
 
+def plain_targets(sizes, weights, share, most):
+    """Shares by weight; who is above the bound stops there, what is left is shared again."""
+    out, open_ = [0.0] * len(sizes), {i for i, n in enumerate(sizes) if n}
+    while open_:
+        rest = share * sum(sizes) - sum(out)
+        unit = rest / sum(weights[i] for i in open_)
+        above = {i for i in open_ if unit * weights[i] > most * sizes[i]}
+        for i in above or open_:
+            out[i] = most * sizes[i] if above else unit * weights[i]
+        open_ = open_ - above if above else set()
+    return out
+
+
 def corpus(seed, n=4000):
     r = random.Random(seed)
     source = lambda: r.choices(["a", "b", "É", "c", "Z", "", None], [30, 5, 5, 5, 5, 1, 1])[0]
@@ -21,7 +34,7 @@ def test_sizes_targets_and_bounds(spark):
     for _, t, s in rows:
         size[s] = size.get(s, 0) + len(WORD.findall(t or ""))
     names = sorted(size, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
-    goal = dict(zip(names, mixing.targets([size[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], 1.5, 2.0)))
+    goal = dict(zip(names, plain_targets([size[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], 1.5, 2.0)))
     longest = {s: max(len(WORD.findall(t or "")) for _, t, x in rows if x == s) for s in names}
     taken = dict.fromkeys(names, 0)
     for x in got:
@@ -32,15 +45,18 @@ def test_sizes_targets_and_bounds(spark):
         assert abs(taken[s] - goal[s]) <= 2 * longest[s] + 1, s
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], [5, 2, 1], 1.5, 2.0) == [200.0, 500 / 3, 250 / 3]
-    assert mixing.targets([0, 10], [5, 1], 1.5, 2.0) == [0.0, 15.0]
-    assert mixing.targets([], [], 1.5, 2.0) == []
+def test_targets(spark):
+    assert plain_targets([100, 100, 100], [5, 2, 1], 1.5, 2.0) == [200.0, 500 / 3, 250 / 3]
     r = random.Random(1)
-    for _ in range(200):
-        sizes = [r.randint(0, 1000) for _ in range(r.randint(1, 9))]
-        out = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], 1.5, 2.0)
-        assert abs(sum(out) - 1.5 * sum(sizes)) < 1e-6 and all(x <= 2 * n + 1e-9 for x, n in zip(out, sizes))
+    for trial in range(8):
+        sizes = [r.choice([0, 1, r.randint(0, 1000), r.randint(0, 100_000)]) for _ in range(r.choice([0, 1, 2, 9, 40]))]
+        names = sorted((f"é{k}" if k % 3 else f"s{k}" for k in range(len(sizes))), key=lambda x: x.encode("utf-32-be"))
+        if sizes and trial % 2:
+            names[-1] = None
+        rows = spark.createDataFrame([(s, n, 1) for s, n in zip(names, sizes)], "source string, source_size long, rows long").repartition(5)
+        got = {x.source: x.target for x in mixing.targets(rows, mixing.WEIGHTS, 1.5, 2.0).collect()}
+        want = dict(zip(names, plain_targets(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))], 1.5, 2.0)))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * max(1, want[k]) for k in want), sizes
 
 
 def test_reruns_agree_whatever_the_partitions(spark):
