@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Cells that rows are dealt into where all pairs are wanted.
+CELLS = 8
 LEXER = r"[A-Za-z_]\w*|\d+(?:\.\d+)?|\S"
 
 
@@ -40,12 +42,23 @@ def token_distance(a: Column, b: Column, within: int | None = None) -> Column:
 def scored_pairs(rows: DataFrame, id_: str, tokens: str, block: list[str] | None = None, within: int | None = None) -> DataFrame:
     """(id_a, id_b, distance) for id_a < id_b in the same block, optionally only up to a distance.
 
-    Tokens are made once per row, before the join.
+    Without a block key all pairs are wanted: rows are dealt into ``CELLS``
+    cells by hash and meet cell by cell, each pair once, in an equi-join whose
+    tasks have about equal shares.  Tokens are made once per row, before the join.
     """
     block = block or []
     a = rows.select(F.col(id_).alias("id_a"), F.col(tokens).alias("ta"), *block)
     b = rows.select(F.col(id_).alias("id_b"), F.col(tokens).alias("tb"), *block)
-    pairs = a.join(b, block) if block else a.crossJoin(b)
+    if block:
+        pairs = a.join(b, block)
+    else:
+        sides = []
+        for side, name in ((a, "a"), (b, "b")):
+            cell = F.pmod(F.xxhash64(f"id_{name}"), F.lit(CELLS))
+            side = side.withColumn(f"cell_{name}", cell).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(CELLS - 1).cast("long"))))
+            sides.append(side.withColumns({"low": F.least(f"cell_{name}", "other"), "high": F.greatest(f"cell_{name}", "other")}).drop("other"))
+        own = (F.least("cell_a", "cell_b") == F.col("low")) & (F.greatest("cell_a", "cell_b") == F.col("high"))
+        pairs = sides[0].join(sides[1].hint("shuffle_hash"), ["low", "high"]).where(own)
     pairs = pairs.where("id_a < id_b")
     if within is not None:
         pairs = pairs.where(F.abs(F.size("ta") - F.size("tb")) <= within)

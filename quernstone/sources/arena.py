@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.functions import ids
-from quernstone.functions.text import signature
+from quernstone.functions.text import banner, signature
+from quernstone.operators.taxonomy import enforcement, from_tag
 
 _S = T.StringType()
 
@@ -56,6 +57,33 @@ def list_files(spark: SparkSession, *folders: str) -> DataFrame:
     return spark.read.format("binaryFile").load(list(folders)).select("path").where(~F.element_at(F.split("path", "/"), -1).startswith("."))
 
 
+def read_one(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The one record of a JSON file, as a row to join to others."""
+    return spark.read.schema(schema).option("multiLine", True).json(path).limit(1)
+
+
+def with_api(items: DataFrame, apis: DataFrame) -> DataFrame:
+    """Items with the metadata of their function; null without any.  A row for each function, the least of several."""
+    one = apis.groupBy("api_path").agg(F.min(F.struct("arguments_str", "return_type_hint", "doc_string", "summarized_doc", "source_code", "imports")).alias("x"))
+    return items.join(one.select("api_path", "x.*"), "api_path", "left")
+
+
+def read_saved(spark: SparkSession, path: str, with_tests: bool = False) -> DataFrame:
+    """Records written by :func:`write_records`."""
+    return spark.read.json(path + ("-w_ut" if with_tests else ""))
+
+
+def checked_updates(updates: DataFrame) -> DataFrame:
+    """Saved updates with the rules they break, their tests by name, wrapped code and enforcement statements."""
+    needed = ("description", "rationale", "docstring", "signature", "implementation", "api_path", "update_type")
+    kind = from_tag(F.col("update_type"))
+    rules = {n: F.col(n).isNotNull() & (F.col(n) != "") for n in needed[:-1]} | {"update_type": kind.isNotNull()}
+    old, new = ids.function_name(F.col("api_path")), F.regexp_extract("implementation", r"def\s++(\w++)", 1)
+    force = enforcement(kind["action"], kind["place"], kind["aspect"], F.col("api_path"), ids.parent_path(F.col("api_path")), old, new)
+    tests = F.transform("unit_tests", lambda t: F.struct(F.regexp_extract(t, r"def\s++(\w++)", 1).alias("name"), t.alias("code")))
+    return updates.select("*", violations(rules).alias("broken"), tests.alias("tests"), banner(F.col("implementation"), "Updated API implementation").alias("wrapped"), force["statements"].alias("enforcement"))
+
+
 def normalized(arena: DataFrame, apis: DataFrame | None = None) -> DataFrame:
     """{update, prog_syn, specific_update_id, prog_syn_id, package} of raw rows.
 
@@ -104,6 +132,27 @@ def write_json(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).json(path)
 
 
+def write_records(rows: DataFrame, path: str, with_tests: bool = False) -> None:
+    """Final records; those with tests under a name of their own."""
+    rows.write.mode("overwrite").json(path + ("-w_ut" if with_tests else ""))
+
+
+def write_outcomes(rows: DataFrame, path: str) -> None:
+    """Outcomes, a row for each test of each program, a folder for each model."""
+    rows.select(*OUTCOMES.fieldNames()).write.mode("append").partitionBy("model").parquet(path)
+
+
+#: Tables that only grow: work that failed, what rejection sampling cost, rejected imports, prompts, responses by attempt.
+RECORDS = ("failed_work", "rejection_stats", "illegal_imports", "prompts", "responses")
+
+
+def append_record(rows: DataFrame, path: str, kind: str) -> None:
+    """Add rows to the growing table of a kind."""
+    if kind not in RECORDS:
+        raise ValueError(f"kind {kind}")
+    rows.withColumn("kind", F.lit(kind)).withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
 def write_text(rows: DataFrame, text: Column, path: str) -> None:
     """Readable dumps, a file's lines as they come."""
     rows.select(text.alias("value")).write.mode("overwrite").text(path)
