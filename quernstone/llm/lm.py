@@ -51,7 +51,7 @@ ORDER = 2
 PASSES = 2
 #: N-grams of an order that are looked up before the shuffle.
 HEAD = 100_000
-_THREE = np.uint64(3)
+_THREE, _DOC = np.uint64(3), np.uint64(0xD1342543DE82EF95)
 
 
 class Batch:
@@ -76,23 +76,25 @@ class Batch:
         i = np.flatnonzero(self.place >= k - 1)
         return i if parts == 1 else i[self.hashes[k - 1][i] % np.uint64(parts) == np.uint64(part)]
 
+    def runs(self, k: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the places ``i`` by text and n-gram of order k, where runs of equal ones start in it, and their lengths."""
+        return _runs_of(_text.mix(self.hashes[k - 1][i] + self.doc[i].astype(np.uint64) * _DOC))
+
     def own(self, k: int) -> np.ndarray:
         """How often the text has the n-gram of order k that ends at each word."""
         out = np.zeros(len(self.doc), np.int32)
-        i = np.flatnonzero(self.place >= k - 1)
-        order, at, many = _runs_of(self.doc[i], self.hashes[k - 1][i])
-        out[i[order]] = np.repeat(many, many)
+        i = np.flatnonzero(self.place >= k - 1) if k > 1 else np.arange(len(self.doc))
+        order, at, many = self.runs(k, i)
+        out[i[order]] = np.repeat(many.astype(np.int32), many)
         return out
 
 
-def _runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by the keys, the first key first; where runs of equal keys start in it; and their lengths."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
+def _runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by the key; where runs of equal keys start in it; and their lengths."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(order), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
     at = np.flatnonzero(new)
     return order, at, np.diff(np.append(at, len(order)))
 
@@ -103,10 +105,11 @@ def _parts_of(spark: SparkSession) -> int:
 
 def _dealt(gram: np.ndarray, passes: int, parts: int):
     """(part, indexes) of n-grams dealt out by hash."""
-    part = (gram // np.uint64(passes) % np.uint64(parts)).astype(np.int64)
+    part = (gram // np.uint64(passes) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
-    at = np.flatnonzero(np.diff(part[order], prepend=-1))
-    return part[order[at]], np.split(order, at[1:]) if len(at) else []
+    dealt = part[order]
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(dealt)), bool), dealt[1:] != dealt[:-1])))
+    return dealt[at].astype(np.int64), np.split(order, at[1:]) if len(at) else []
 
 
 def _packed(arrays: list[np.ndarray], rows: list[np.ndarray]) -> pa.Array:
@@ -138,16 +141,15 @@ def gram_counts(docs: DataFrame, k: int, part: int, passes: int) -> DataFrame:
         for b in _text.batches(it, 4 << 20):
             x = Batch(b.column(0), k)
             i = x.ends(k, part, passes)
-            gram = x.hashes[k - 1][i]
-            order, at, own = _runs_of(gram, x.doc[i])
+            order, at, own = x.runs(k, i)
             if not len(at):
                 continue
-            each = gram[order][at]
-            first = np.flatnonzero(np.concatenate(([True], each[1:] != each[:-1])))
-            n, texts = np.add.reduceat(own, first).astype(np.int32), np.diff(np.append(first, len(each))).astype(np.int32)
-            end = i[order[at[first]]]
-            keys = [gram[order[at[first]]]] if k == 1 else [x.hashes[k - 2][end - 1], x.hashes[k - 2][end]] + ([x.hashes[k - 3][end - 1]] if k > 2 else [])
-            p, rows = _dealt(each[first], passes, parts)
+            i = i[order[at]]  # one place for each text and n-gram
+            order, first, texts = _runs_of(x.hashes[k - 1][i])
+            n, texts, end = np.add.reduceat(own[order], first).astype(np.int32), texts.astype(np.int32), i[order[first]]
+            each = x.hashes[k - 1][end]
+            keys = [each] if k == 1 else [x.hashes[k - 2][end - 1], x.hashes[k - 2][end]] + ([x.hashes[k - 3][end - 1]] if k > 2 else [])
+            p, rows = _dealt(each, passes, parts)
             yield pa.RecordBatch.from_arrays([pa.array(p), _packed([*keys, n, texts], rows)], ["part", "block"])
 
     def summed(it):
@@ -155,9 +157,7 @@ def gram_counts(docs: DataFrame, k: int, part: int, passes: int) -> DataFrame:
             for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
                 *keys, n, texts = _unpacked(t.column("block").slice(a, z - a).to_pylist(), kinds)
                 gram = keys[0] if k == 1 else _text.mix(keys[0] * _THREE + keys[1])
-                order = np.argsort(gram, kind="stable")
-                g = gram[order]
-                first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+                order, first, _ = _runs_of(gram)
                 c, t2 = np.add.reduceat(n[order].astype(np.int64), first), np.add.reduceat(texts[order].astype(np.int64), first)
                 keep = np.flatnonzero(t2 > 1) if k > 1 else np.arange(len(first))
                 row = order[first[keep]]
@@ -201,11 +201,9 @@ def gains(docs: DataFrame, table: DataFrame, k: int, part: int, passes: int, alp
         for b in _text.batches(it, 2 << 20):
             x = Batch(b.column(1), k)
             i = x.ends(k, part, passes)
-            gram = x.hashes[k - 1][i]
-            order, at, _ = _runs_of(x.doc[i], gram)
-            row = order[at]
-            end, gram, doc = i[row], gram[row], x.doc[i[row]]
-            own = [x.own(k)[end]]
+            order, at, many = x.runs(k, i)
+            end = i[order[at]]
+            gram, doc, own = x.hashes[k - 1][end], x.doc[end], [many.astype(np.int32)]
             if k > 1:
                 own.append(x.own(k - 1)[end - 1])
             if k > 2:
@@ -246,7 +244,7 @@ def gains(docs: DataFrame, table: DataFrame, k: int, part: int, passes: int, alp
             many = np.diff(lists.offsets.to_numpy())
             doc = local + np.repeat(np.cumsum(many) - many, size)
             known = right.column("gram").to_numpy().view(np.uint64)
-            order = np.argsort(known, kind="stable")
+            order = np.argsort(known)
             known = known[order]
             where = np.minimum(np.searchsorted(known, gram), len(known) - 1)
             h = np.flatnonzero(known[where] == gram)
