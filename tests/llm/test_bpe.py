@@ -61,7 +61,7 @@ def test_every_code_point(both):
             assert ids.tolist() == library.encode_ordinary(text), hex(ord(text[0]))
 
 
-@pytest.mark.parametrize("text", ["'a' * 20_000_000", "'some words and others, ' * 900_000", "'tabs\\t\\tof words  ' * 1_200_000"])
+@pytest.mark.parametrize("text", ["'a' * 20_000_000", "'some words and others, ' * 900_000"])
 def test_texts_of_20_mb_in_bounded_memory(text):
     program = f'''
 import resource, public_tokenizers

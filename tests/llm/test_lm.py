@@ -31,7 +31,7 @@ def brute(rows, order=2, alpha=0.4):
     return out
 
 
-@pytest.mark.parametrize(("order", "passes", "head"), [(2, 2, 100_000), (2, 3, 3), (3, 2, 5), (4, 1, 100_000), (1, 1, 1)])
+@pytest.mark.parametrize(("order", "passes", "head"), [(2, 2, 3), (3, 1, 100_000)])
 def test_equals_brute_force(spark, order, passes, head):
     r = random.Random(8)
     rows = [(i, " ".join(r.choice(["a", "B", "c", "dd", "é", "f", "g"]) for _ in range(r.randint(0, 30)))) for i in range(60)]
