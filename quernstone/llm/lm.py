@@ -182,13 +182,20 @@ def _gain(k: int, own: list[np.ndarray], c: np.ndarray, prefix: np.ndarray, suff
     return out
 
 
-def gains(docs: DataFrame, table: DataFrame, k: int, part: int, passes: int, alpha: float, total: int, head: int = HEAD) -> DataFrame:
+def _steps(words: np.ndarray, order: int) -> np.ndarray:
+    """How many words histories are cut by in all if every word of a text of so many words is scored alone."""
+    full = np.maximum(words - order + 1, 0)
+    short = np.minimum(words, order - 1)
+    return full * (order - 1) + short * (short - 1) // 2
+
+
+def gains(docs: DataFrame, table: DataFrame, k: int, part: int, passes: int, alpha: float, total: int, head: int = HEAD, order: int = ORDER) -> DataFrame:
     """``(doc_id, n_words, s)``: what n-grams of order k and of one part of the hash range add, in several rows a document.
 
     ``table`` has (part, gram, c, prefix_c, suffix_c, mid_c, texts).  With order 1 come
     the numbers of words, and the factors of a text's words all backed off.
     """
-    spark = docs.sparkSession
+    spark, top_order = docs.sparkSession, order
     parts = _parts_of(spark)
     counted = ["c", "prefix_c", "suffix_c", "mid_c"]
     top = table.orderBy(F.desc("texts"), "gram").limit(max(1, head // passes)).select("gram", *counted).toArrow()  # bounded
@@ -216,6 +223,8 @@ def gains(docs: DataFrame, table: DataFrame, k: int, part: int, passes: int, alp
                 h, w = np.flatnonzero(inside), where[inside]
                 s += np.bincount(doc[h], _gain(k, [o[h] for o in own], *[v[w] for v in values], alpha, total), b.num_rows)
             words = np.diff(x.counts)
+            if k == 1:
+                s += _steps(words, top_order) * math.log(alpha)
             rows = np.arange(b.num_rows) if k == 1 else np.flatnonzero(s)
             ids = b.column(0)
             none = pa.nulls(len(rows), pa.int64())
@@ -263,13 +272,6 @@ def gains(docs: DataFrame, table: DataFrame, k: int, part: int, passes: int, alp
     return out
 
 
-def backed_off(docs: DataFrame, order: int, alpha: float) -> DataFrame:
-    """``(doc_id, n_words, s)``: the factors of each text's words if all of them backed off to no history."""
-    n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    steps = F.when(n >= order, F.lit((order - 1) * (order - 2) // 2) + (n - order + 1) * (order - 1)).otherwise(n * (n - 1) / 2)
-    return docs.groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_words"), (F.sum(steps) * math.log(alpha)).alias("s"))
-
-
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, passes: int = PASSES, head: int = HEAD) -> DataFrame:
     """``(doc_id, n_words, log_score)`` for each doc_id, by n-grams of up to ``order`` words."""
     spark = docs.sparkSession
@@ -279,7 +281,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, passes: int
     total = words.agg(F.sum("c")).first()[0] or 1
     tables = [words.select("gram", "c")]
     table = words.select("part", "gram", "c", *[F.lit(0).cast("long").alias(x) for x in ("prefix_c", "suffix_c", "mid_c")], "texts")
-    out = gains(docs, table, 1, 0, 1, alpha, total, head).unionByName(backed_off(docs, order, alpha))
+    out = gains(docs, table, 1, 0, 1, alpha, total, head, order)
     for k in range(2, order + 1):
         own = []
         for p in range(passes):
