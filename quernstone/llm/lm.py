@@ -100,7 +100,8 @@ def _runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _parts_of(spark: SparkSession) -> int:
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Parts that n-grams are dealt out into: one for each shuffle partition."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _dealt(gram: np.ndarray, passes: int, parts: int):
