@@ -22,27 +22,48 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least 0.5."""
+    """Documents whose quality score is at least 0.5.
+
+    Null and empty texts have the score of an empty line; repeated rows stay or go
+    together; further columns go; an empty table stays empty.
+    """
     return quality.good_documents(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of five-word-shingle likeness 0.8 or more."""
+    """One document of each class of five-word-shingle likeness 0.8 or more.
+
+    The smallest doc_id of a class stays, once; rows without an id stay, and so do
+    texts without words; an empty table stays empty.
+    """
     return minhash.one_of_each(docs.select(*COLUMNS))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of ``PASSAGE`` bytes or more that occur again."""
+    """Texts without the passages of ``PASSAGE`` bytes or more that occur again.
+
+    Every row stays, if need be with an empty text; null texts become empty ones;
+    repeated rows are copies of each other; an empty table stays empty.
+    """
     return suffixes.without_repeats(docs, width=PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Texts without words are taken no time; a null source is a source of its own;
+    rows that repeat a doc_id are taken as often as the one taken most; an empty
+    table stays empty.
+    """
     return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each taken document."""
+    """Token counts and digests of each taken document.
+
+    A null or empty text has no tokens; repeated rows repeat their results; an
+    empty table gives an empty one.
+    """
     return bpe.round_trip(docs, remembered=24 << 20)  # executors still hold what the other stages have left
 
 
