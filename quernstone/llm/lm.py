@@ -21,7 +21,8 @@ join of n-grams exploded from the texts to their count table:
    orders above one only those that several texts have are kept.  Three joins
    to the lower orders' tables add the other counts.
 2. The n-grams of each text are exploded, one row for each different one, and
-   joined to the counts by part; the differences are summed by document.
+   joined to the counts by part; the differences go back to the batch, a row for
+   each batch and part, and are summed there by text.
    The ``HEAD`` most common n-grams, a bounded table, are looked up before the
    shuffle, so no part holds the rows of a very common one.
 
@@ -41,6 +42,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,7 +193,7 @@ def _steps(words: np.ndarray, order: int) -> np.ndarray:
 
 
 def gains(docs: DataFrame, table: DataFrame, k: int, part: int, passes: int, alpha: float, total: int, head: int = HEAD, order: int = ORDER) -> DataFrame:
-    """``(doc_id, n_words, s)``: what n-grams of order k and of one part of the hash range add, in several rows a document.
+    """``(doc_id, n_words, s)``: what n-grams of order k and of one part of the hash range add, in a row a text at most.
 
     ``table`` has (part, gram, c, prefix_c, suffix_c, mid_c, texts).  With order 1 come
     the numbers of words, and the factors of a text's words all backed off.
@@ -203,10 +205,12 @@ def gains(docs: DataFrame, table: DataFrame, k: int, part: int, passes: int, alp
     top = top.take(np.argsort(top.column("gram").to_numpy().view(np.uint64), kind="stable"))
     common = spark.sparkContext.broadcast([top.column("gram").to_numpy().view(np.uint64), *[top.column(c).to_numpy() for c in counted]])
     kinds = [np.uint64, np.int32] + [np.int32] * (1 if k == 1 else 2 if k == 2 else 4)
+    made_of = ["batch", "part", "block", "docs", "words", "s"]
 
     def blocks(it):
         known, *values = common.value
-        for b in _text.batches(it, 2 << 20):
+        first = TaskContext.get().partitionId() << 32
+        for batch, b in enumerate(_text.batches(it, 2 << 20), first):
             x = Batch(b.column(1), k)
             i = x.ends(k, part, passes)
             order, at, many = x.runs(k, i)
@@ -226,49 +230,59 @@ def gains(docs: DataFrame, table: DataFrame, k: int, part: int, passes: int, alp
             words = np.diff(x.counts)
             if k == 1:
                 s += _steps(words, top_order) * math.log(alpha)
-            rows = np.arange(b.num_rows) if k == 1 else np.flatnonzero(s)
-            ids = b.column(0)
-            none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.list_(pa.int64())), ids.take(pa.array(rows)), pa.array(words[rows] if k == 1 else np.zeros(len(rows), np.int64)), pa.array(s[rows])], ["part", "block", "docs", "doc_id", "n_words", "s"])
+            whole = pa.array([0, b.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(whole, x) for x in (b.column(0), pa.array(words if k == 1 else np.zeros(b.num_rows, np.int64)), pa.array(s))]
+            yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *lists], made_of)
             rest = np.flatnonzero(~inside)
             if not len(rest):
                 continue
             p, some = _dealt(gram[rest], passes, parts)
-            some = [rest[j] for j in some]
-            local, lists = np.zeros(len(gram), np.int32), []
-            for j in some:
-                seen, at_doc = np.unique(doc[j], return_inverse=True)
-                local[j] = at_doc
-                lists.append(seen)
-            bounds = np.concatenate(([0], np.cumsum([len(z) for z in lists]))).astype(np.int32)
-            docs_of = pa.ListArray.from_arrays(pa.array(bounds), ids.take(pa.array(np.concatenate(lists))))
-            empty = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(p), _packed([gram, local, *own], some), docs_of, pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.float64())], ["part", "block", "docs", "doc_id", "n_words", "s"])
+            none = [pa.nulls(len(p), pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), batch)), pa.array(p), _packed([gram, doc, *own], [rest[j] for j in some]), *none], made_of)
 
     def joined(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        lists = left.column("docs").combine_chunks()
-        out_ids, out_s = pa.array([], pa.int64()), np.zeros(0)
+        """What each block adds to the texts of its batch, as one row."""
+        batch, sums = left.column("batch").to_numpy(), []
+        at = np.zeros(0, np.int64)
         if left.num_rows and right.num_rows:
-            gram, local, *own = _unpacked(left.column("block").to_pylist(), kinds)
-            size = [len(z) // sum(np.dtype(q).itemsize for q in kinds) for z in left.column("block").to_pylist()]
-            many = np.diff(lists.offsets.to_numpy())
-            doc = local + np.repeat(np.cumsum(many) - many, size)
+            held = left.column("block").to_pylist()
+            gram, doc, *own = _unpacked(held, kinds)
+            size = [len(z) // sum(np.dtype(q).itemsize for q in kinds) for z in held]
             known = right.column("gram").to_numpy().view(np.uint64)
             order = np.argsort(known)
             known = known[order]
             where = np.minimum(np.searchsorted(known, gram), len(known) - 1)
             h = np.flatnonzero(known[where] == gram)
             w = order[where[h]]
-            s = np.bincount(doc[h], _gain(k, [o[h] for o in own], *[right.column(c).to_numpy()[w] for c in counted], alpha, total), int(many.sum())).astype(float)
-            some = np.flatnonzero(s)
-            out_ids, out_s = lists.flatten().take(pa.array(some)), s[some]
-        return pa.table({"doc_id": out_ids, "n_words": pa.array(np.zeros(len(out_ids), np.int64)), "s": pa.array(out_s)})
+            gain = _gain(k, [o[h] for o in own], *[right.column(c).to_numpy()[w] for c in counted], alpha, total)
+            place = (np.repeat(np.arange(len(size)), size)[h] << 32) + doc[h]  # block and text
+            order, first, _ = _runs_of(place)
+            if len(first):
+                gain, place = np.add.reduceat(gain[order], first), place[order[first]]
+                cuts = np.flatnonzero(np.diff(place >> 32)) + 1
+                at = place[np.concatenate(([0], cuts))] >> 32
+                sums = _packed([(place & 0xFFFFFFFF).astype(np.int32), gain], np.split(np.arange(len(place)), cuts))
+        return pa.table({"batch": batch[at], "sums": pa.array(sums, pa.binary())})
 
-    schema = "part long, block binary, docs array<long>, doc_id long, n_words long, s double"
+    def summed(it):
+        for t, at in _text.runs(it, "batch"):
+            for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
+                rows = t.slice(a, z - a)
+                i = int(np.flatnonzero(rows.column("docs").is_valid().to_numpy())[0])
+                ids, words, s = (rows.column(c).slice(i, 1).combine_chunks().flatten() for c in ("docs", "words", "s"))
+                s, words = s.to_numpy(), words.to_numpy()
+                if len(rows) > 1:
+                    doc, gain = _unpacked([x for x in rows.column("sums").to_pylist() if x is not None], [np.int32, np.float64])
+                    s = s + np.bincount(doc, gain, len(s))
+                some = np.arange(len(s)) if k == 1 else np.flatnonzero(s)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.array(words[some]), pa.array(s[some])], ["doc_id", "n_words", "s"])
+
+    schema = "batch long, part long, block binary, docs array<long>, words array<long>, s array<double>"
     made = _run.cut(docs.select("doc_id", "text").mapInArrow(_run.tidy(blocks), schema), "grams")
-    met = made.where("part is not null").select("part", "block", "docs").groupBy("part").cogroup(table.select("part", "gram", *counted).groupBy("part")).applyInArrow(joined, "doc_id long, n_words long, s double")
-    out = made.where("part is null").select("doc_id", "n_words", "s").unionByName(met)
-    out = _run.cut(out.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("s")), "scores")
+    met = made.where("part is not null").select("part", "batch", "block").groupBy("part").cogroup(table.select("part", "gram", *counted).groupBy("part")).applyInArrow(joined, "batch long, sums binary")
+    rows = made.where("part is null").select("batch", "docs", "words", "s").unionByName(met, allowMissingColumns=True)
+    out = rows.repartition("batch").sortWithinPartitions("batch").mapInArrow(_run.tidy(summed), "doc_id long, n_words long, s double")
+    out = _run.cut(out, "scores")
     _run.drop_cut(spark, made)
     return out
 

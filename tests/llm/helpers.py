@@ -22,3 +22,19 @@ def documents(spark, rows):
 def save(df, folder, name):
     df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
     return str(folder)
+
+
+def rows_made(df, node, metric):
+    """Rows that the plan nodes of a name have made when the query was last executed."""
+
+    def walk(plan):
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(plan.plan())
+        below = plan.children()
+        own = plan.metrics().apply(metric).value() if node in name else 0
+        return own + sum(walk(below.apply(i)) for i in range(below.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())

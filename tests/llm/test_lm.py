@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 from quernstone.llm import lm
-from tests.llm.helpers import WORD, documents, lower
+from tests.llm.helpers import WORD, documents, lower, rows_made
 
 
 def brute(rows, order=2, alpha=0.4):
@@ -46,3 +46,21 @@ def test_equals_brute_force(spark, order, passes, head):
 def test_empty_table_and_no_words(spark):
     assert lm.score(documents(spark, [])).count() == 0
     assert [tuple(x) for x in lm.score(documents(spark, [(1, None)])).collect()] == [(1, 0, 0.0)]
+
+
+def test_parts_answer_by_batch(spark, monkeypatch):
+    """The join by part makes a row for each batch and part, however many texts a batch has."""
+    r = random.Random(5)
+    rows = [(i, " ".join(str(r.randint(0, 50)) for _ in range(60))) for i in range(300)]
+    made, cut = [], lm._run.cut
+
+    def counted(df, name):
+        if name == "scores":
+            df.collect()
+            made.append(rows_made(df, "CoGroups", "pythonNumRowsReceived"))
+        return cut(df, name)
+
+    monkeypatch.setattr(lm._run, "cut", counted)
+    got = {x.doc_id: x.log_score for x in lm.score(documents(spark, rows), passes=2, head=1).collect()}
+    assert len(made) == 3 and 0 < min(made) and max(made) <= 3 * 4  # batches and parts
+    assert all(abs(got[d] - s) < 1e-6 * abs(s) for d, (_, s) in brute(rows).items())

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from quernstone.llm import suffixes
-from tests.llm.helpers import documents, save
+from tests.llm.helpers import documents, rows_made, save
 
 
 def brute(rows, width):
@@ -94,22 +94,6 @@ def test_empty_table_and_long_text(spark):
     assert got == {1: [(700_000, 700_500)], 2: [(0, 500)], 3: [(0, 3000)]}
 
 
-def joined_rows(df):
-    """Rows that the joins of an executed query have made."""
-
-    def walk(plan):
-        name = plan.nodeName()
-        if name == "AdaptiveSparkPlan":
-            return walk(plan.executedPlan())
-        if name.endswith("QueryStage"):
-            return walk(plan.plan())
-        below = plan.children()
-        own = plan.metrics().apply("numOutputRows").value() if "Join" in name else 0
-        return own + sum(walk(below.apply(i)) for i in range(below.size()))
-
-    return walk(df._jdf.queryExecution().executedPlan())
-
-
 def test_occurrences_of_a_common_passage_are_joined_once(spark):
     """Where segments lie is known from the first join; the last one has a row for each different segment at most."""
     r = random.Random(12)
@@ -118,5 +102,5 @@ def test_occurrences_of_a_common_passage_are_joined_once(spark):
     rows = [(k, make(250) + passage + make(250)) for k in range(80)] + [(100 + k, make(20) + passage[150 * k : 150 * k + 333] + make(20)) for k in range(18)]
     _, ranges = suffixes.repeated_ranges(documents(spark, rows), 220)
     found = ranges.collect()
-    assert len(found) == 98 and 0 < joined_rows(ranges) < 500  # of some 3,000 segments of the passage
+    assert len(found) == 98 and 0 < rows_made(ranges, "Join", "numOutputRows") < 500  # of some 3,000 segments of the passage
     assert result(suffixes.removed(documents(spark, rows), 220)) == brute(rows, 220)
