@@ -21,7 +21,7 @@ target 0.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,10 +101,11 @@ def pivot(size: np.ndarray, share: np.ndarray, chance: np.ndarray) -> np.ndarray
     return out
 
 
-def _round_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["chance", "doc_id", "size"], kind="stable", ignore_index=True)
-    pdf["share"] = pivot(pdf["size"].to_numpy(float), pdf["share"].to_numpy(), pdf["chance"].to_numpy())
-    return pdf
+def _round_bucket(rows: pa.Table) -> pa.Table:
+    """Arrow throughout: pandas would make numbers with a decimal point of ids as soon as one is null."""
+    rows = rows.sort_by([(c, "ascending") for c in ("chance", "doc_id", "size")])
+    size, share, chance = (rows.column(c).to_numpy() for c in ("size", "share", "chance"))
+    return rows.set_column(rows.column_names.index("share"), "share", pa.array(pivot(size.astype(float), share, chance)))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -119,7 +120,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     rows = sized.join(table, F.col("source").eqNullSafe(F.col("origin"))).drop("origin")
     rows = rows.select("doc_id", "source", "size", "source_size", "target", whole.alias("whole"), chance.alias("chance"), F.when(F.col("size") > 0, fraction - whole).otherwise(0.0).alias("share"), F.pmod(F.xxhash64("doc_id", "size", F.lit("bucket")), F.col("buckets")).alias("bucket"))
     kind = rows.schema
-    rows = _run.cut(rows.groupBy("source", "bucket").applyInPandas(_round_bucket, kind), "rounded")
+    rows = _run.cut(rows.groupBy("source", "bucket").applyInArrow(_round_bucket, kind), "rounded")
     done, level = [rows.where("share in (0, 1)")], 0
     left = rows.where("share not in (0, 1)")
     most_buckets = table.agg(F.max("buckets")).first()[0] or 1
@@ -127,7 +128,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         most_buckets, level = -(-most_buckets // FAN_IN), level + 1
         left = left.withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
         left = left.withColumn("chance", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(1 << 40)) / float(1 << 40))
-        left = _run.cut(left.groupBy("source", "bucket").applyInPandas(_round_bucket, kind), "rounded")
+        left = _run.cut(left.groupBy("source", "bucket").applyInArrow(_round_bucket, kind), "rounded")
         done.append(left.where("share in (0, 1)"))
         left = left.where("share not in (0, 1)")
     last = F.pmod(F.xxhash64("doc_id", F.lit("last")), F.lit(1 << 40)) / float(1 << 40)

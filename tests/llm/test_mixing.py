@@ -94,3 +94,10 @@ def test_mixed_documents_and_empty_table(spark):
     out = mixing.mixed_documents(docs.where("doc_id != 5")).groupBy("doc_id").count().collect()
     assert {x.doc_id: x["count"] for x in out} == {d: c for d, c in copies.items() if c and d is not None}
     assert mixing.mix(documents(spark, [])).count() == 0
+
+
+def test_large_ids_beside_a_null_one(spark):
+    """Ids are whole numbers throughout: 2**53 + 1 has no double."""
+    ids = [None, 2**53 + 1, 2**53 + 3, 2**63 - 1, -(2**63), 7]
+    got = mixing.mix(documents(spark, [(i, "a b c", "s") for i in ids])).collect()
+    assert sorted((x.doc_id for x in got), key=str) == sorted(ids, key=str)
