@@ -59,6 +59,11 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[list[np.ndarray], np.nda
     return sets, np.array([len(s) for s in sets], np.int64)
 
 
+def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
+    """What equal sets are known by; 0 for the empty one."""
+    return np.array([_text.mix(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+
+
 def signatures(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     """COORDINATES values for each non-empty set; zeros for the empty ones."""
     out = np.zeros((len(sets), COORDINATES), np.uint64)
@@ -78,19 +83,23 @@ def signatures(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_key():
+    """What a row is found by again: rows that share an id may have different texts."""
+    return F.xxhash64("doc_id", "text")
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, rid, node, n_shingles, coords) of each row; rows of equal sets have equal nodes."""
 
     def run(it):
         for b in _text.batches(it, 2 << 20):
             sets, n = shingle_sets(b.column(2), words)
-            node = np.array([_text.mix(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
             sig = signatures(sets, n).view(np.int64).ravel()
             coords = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sig) + 1, COORDINATES, dtype=np.int32)), pa.array(sig))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node.view(np.int64)), pa.array(n), coords], ["doc_id", "rid", "node", "n_shingles", "coords"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes_of(sets)), pa.array(n), coords], ["doc_id", "rid", "node", "n_shingles", "coords"])
 
     _run.small_batches(docs.sparkSession, 500)
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), "text")
+    rows = docs.select("doc_id", row_key().alias("rid"), "text")
     return rows.mapInArrow(_run.tidy(run), "doc_id long, rid long, node long, n_shingles long, coords array<long>")
 
 
@@ -167,14 +176,15 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, words: int, percent: int
     def sets_of(it):
         for b in _text.batches(it, 2 << 20):
             sets, _ = shingle_sets(b.column(2), words)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _text.binaries(sets)], ["run", "node", "shingles"])
+            own = np.flatnonzero(nodes_of(sets) == b.column(1).to_numpy())  # a key is a hash: another row's text may have it
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), b.column(1).take(pa.array(own)), _text.binaries([sets[i] for i in own])], ["run", "node", "shingles"])
 
     total = groups.groupBy("root").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("members")).where("members > 1")
     side = groups.join(total, "root")
     side = _block_pairs(side, F.ceil(F.col("total") / GROUP_SHINGLES), "root", "node").select("rid", "run", "node")
     if groups.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
-    rows = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), "text").join(side, "rid").select("run", "node", "text")
+    rows = docs.select(row_key().alias("rid"), "text").join(side, "rid").select("run", "node", "text")
     rows = rows.mapInArrow(_run.tidy(sets_of), "run long, node long, shingles binary")
     return rows.repartition("run").sortWithinPartitions("run").mapInArrow(_run.tidy(_confirm(percent)), "u long, v long")
 

@@ -94,3 +94,13 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000), (2001, 2000)], "u long, v long").repartition(7)
     got = {r.node: r.root for r in graph.components(links).collect()}
     assert got == {i: 0 for i in range(301)} | {2000: 2000, 2001: 2000}
+
+
+def test_rows_that_share_an_id_keep_their_own_links(spark):
+    """Ids 2 and 4 stand for two texts each, which link with others but not with each other."""
+    base = [f"w{k}" for k in range(60)]
+    edited = lambda *at: " ".join(f"q{k}" if k in at else w for k, w in enumerate(base))
+    rows = [(2, edited()), (2, edited(20, 40)), (1, edited(57)), (4, edited(20, 40, 3)), (4, edited(20, 40, 3).upper()), (4, edited(10, 30)), (3, edited(10, 30, 50))]
+    got = result(minhash.near_duplicates(documents(spark, rows), 4))
+    assert got == brute(rows, 4)
+    assert len({r[2] for r in got}) > 1
