@@ -107,7 +107,8 @@ def with_next(docs: DataFrame, added: Column) -> DataFrame:
     bounds: list[int] = []
     if windows > 1:
         shares = [k / windows for k in range(1, windows)]
-        bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 20 * windows)).first()[0]))
+        found, least = rows.agg(F.percentile_approx("doc_id", shares, 20 * windows), F.min("doc_id")).first()
+        bounds = sorted({b for b in found if b > least})  # the least id shares a window with the rows that come after it
     own = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
     own = F.when(F.col("doc_id").isNull(), 0).otherwise(own)
     tops = docs.select("doc_id", own.alias("own")).where("doc_id is not null").groupBy("own").agg(F.max("doc_id").alias("guard_id"))

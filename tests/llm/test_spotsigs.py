@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from quernstone.llm import spotsigs
 from tests.llm.helpers import documents, lower, save
 
@@ -81,3 +83,11 @@ def test_pairs_equal_brute_force(spark):
     sets = {digest(signatures(t)): signatures(t) for _, t in rows}
     want = {(a, b) for a in sets for b in sets if a < b and likeness(sets[a], sets[b]) >= 0.8}
     assert {(x.a, x.b) for x in spotsigs.near_pairs(prints, 0.8).collect()} == want
+
+
+def test_rows_without_id_come_after_a_least_id_that_fills_windows(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "NEIGHBOURS", 20)
+    rows = [(5, f"five {k:03}") for k in range(60)] + [(6 + k, f"other {k}") for k in range(30)] + [(None, f"none {k}") for k in range(7)]
+    got = spotsigs.with_next(documents(spark, rows), F.lit(1)).collect()
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))]
+    assert {r.text: r.next_text for r in got} == dict(zip(order, order[1:] + order[:1]))
